@@ -1,0 +1,15 @@
+"""Cleaning of rows that keep arriving.
+
+The row-wise cleaning steps hold no state, so a plan fitted on a batch applies to a stream unchanged.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from plumbline.operators.cleaning import CleaningPlan
+
+
+def clean_stream(stream: DataFrame, plan: CleaningPlan) -> DataFrame:
+    """Apply the row-wise steps of ``plan`` to a streaming DataFrame."""
+    return plan.apply(stream)
