@@ -38,27 +38,3 @@ def duplicate_rows(df: DataFrame) -> int:
     """Rows beyond the first of each group of equal rows."""
     row = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") - 1).alias("extra")).first()
     return row["extra"] or 0
-
-
-def most_frequent(df: DataFrame, columns: list[str]) -> dict[str, str]:
-    """The most frequent value of each text column, the smallest on ties."""
-    if not columns:
-        return {}
-    counts = value_counts(df, columns)
-    best = counts.groupBy("column").agg(F.min(F.struct(-F.col("count"), F.col("value").alias("value"))).alias("best"))
-    return {r["column"]: r["best"]["value"] for r in best.collect()}
-
-
-def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Non-null values of several columns with their frequencies: ``column, value, count``.
-
-    One scan for all columns; equal values combine before the shuffle, so a value that fills a third
-    of the rows arrives as one row per task.
-    """
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
-    return (
-        df.select(F.inline(pairs))
-        .filter(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
