@@ -29,19 +29,20 @@ def step_of(df: DataFrame, date: str, metric: str) -> str:
     return "day" if days >= FEWEST_DAYS else "week"
 
 
-# A series has one row per calendar period, so windows over all of it stay small.
-_WHOLE = Window.partitionBy(F.lit(0)).orderBy("period")
+def _in_order():
+    """A series has one row per calendar period, so a window over all of it stays small."""
+    return Window.partitionBy(F.lit(0)).orderBy("period")
 
 
 def rolling_mean(periods: DataFrame) -> DataFrame:
     """``period, value, rolling``: the mean of up to seven periods that end here."""
-    window = _WHOLE.rowsBetween(1 - ROLLING, 0)
+    window = _in_order().rowsBetween(1 - ROLLING, 0)
     return periods.withColumn("rolling", F.avg("value").over(window))
 
 
 def fit_trend(periods: DataFrame) -> DataFrame:
     """Least-squares line over the period index, spread and mean of the series, in one row."""
-    x = (F.row_number().over(_WHOLE) - 1).cast("double")
+    x = (F.row_number().over(_in_order()) - 1).cast("double")
     return periods.withColumn("x", x).agg(
         F.count(F.lit(1)).alias("periods"),
         F.regr_slope("value", "x").alias("slope"),
