@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbline.operators.columns import metric_columns, number, quoted
 from plumbline.operators.quantiles import exact_quantiles
-from plumbline.session import stage
+from plumbline.session import spread, stage
 
 # Forest size, rows per tree, share of rows to flag, seed, fewest rows, list lengths.
 TREES, TREE_ROWS, DEPTH = 100, 256, 8
@@ -130,7 +130,7 @@ def detect_anomalies(df: DataFrame, key: list[str], features: list[str] | None =
     if len(features) < 2:
         return None
     complete = df.select(*[quoted(c) for c in key], *[number(df, c).alias(c) for c in features if c not in key])
-    complete = complete.dropna(subset=features)
+    complete = spread(stage(complete.dropna(subset=features), "complete-rows"))
     rows = complete.count()
     if rows < FEWEST_ROWS:
         return None

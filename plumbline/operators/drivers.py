@@ -7,6 +7,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 
 from plumbline.operators.columns import metric_columns, number
+from plumbline.session import spread, stage
 
 # Name parts of a likely target in order of preference, forest size, fewest rows.
 TARGET_NAMES = ("revenue", "price", "amount", "charge", "sales", "mrr", "cost", "score", "days", "bmi")
@@ -37,11 +38,12 @@ def key_drivers(df: DataFrame, target: str | None = None, features: list[str] |
     if target is None or not predictors:
         return spark.createDataFrame([], schema)
     rows = df.select(*[number(df, c).alias(c) for c in [*predictors, target]]).dropna()
+    rows = spread(stage(rows, "driver-rows"))
     if rows.limit(FEWEST_ROWS).count() < FEWEST_ROWS:
         return spark.createDataFrame([], schema)
     vectors = VectorAssembler(inputCols=predictors, outputCol="features").transform(rows)
     forest = RandomForestRegressor(
-        labelCol=target, featuresCol="features", numTrees=TREES, maxDepth=DEPTH, seed=SEED
+        labelCol=target, featuresCol="features", numTrees=TREES, maxDepth=DEPTH, seed=SEED, maxMemoryInMB=1024
     ).fit(vectors)
     weights = forest.featureImportances.toArray()
     ranked = sorted(zip(predictors, weights), key=lambda x: -x[1])

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
@@ -12,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.operators.columns import metric_columns, number, quoted
+from plumbline.session import spread, stage
 
 # Sweep, seed, fewest rows, trait threshold and how many traits to name and keep.
 CLUSTER_RANGE = (2, 3, 4, 5)
@@ -55,31 +55,30 @@ def segment(df: DataFrame, features: list[str] | None = None, restarts: int = 2)
     """K-means for each k in the sweep, the best of ``restarts`` runs each, over all complete rows.
 
     The k with the highest silhouette (squared Euclidean) wins, the smaller on ties. None for fewer
-    than two features or 15 complete rows. Runs iterate over one persisted vector column.
+    than two features or 15 complete rows.
     """
     features = feature_columns(df) if features is None else features
     if len(features) < 2:
         return None
     rows = standardized(df, features)
-    vectors = rows.select("scaled").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n = vectors.count()
-        if n < FEWEST_ROWS:
-            return None
-        judge = ClusteringEvaluator(featuresCol="scaled", predictionCol="cluster")
-        best, scores = None, []
-        for k in (k for k in CLUSTER_RANGE if k < n - 1):
-            runs = [
-                KMeans(k=k, seed=SEED + i, featuresCol="scaled", predictionCol="cluster").fit(vectors)
-                for i in range(restarts)
-            ]
-            model = min(runs, key=lambda m: m.summary.trainingCost)
-            score = judge.evaluate(model.transform(vectors))
-            scores.append((k, score))
-            if best is None or score > best[1]:
-                best = (k, score, model)
-    finally:
-        vectors.unpersist()
+    # Staged once for all runs; each fit keeps its own cached copy while it iterates.
+    vectors = stage(rows.select("scaled"), "vectors")
+    n = vectors.count()
+    if n < FEWEST_ROWS:
+        return None
+    vectors = spread(vectors)
+    judge = ClusteringEvaluator(featuresCol="scaled", predictionCol="cluster")
+    best, scores = None, []
+    for k in (k for k in CLUSTER_RANGE if k < n - 1):
+        runs = [
+            KMeans(k=k, seed=SEED + i, featuresCol="scaled", predictionCol="cluster").fit(vectors)
+            for i in range(restarts)
+        ]
+        model = min(runs, key=lambda m: m.summary.trainingCost)
+        score = judge.evaluate(model.transform(vectors))
+        scores.append((k, score))
+        if best is None or score > best[1]:
+            best = (k, score, model)
     k, score, model = best
     return Segmentation(features, k, score, scores, model.transform(rows))
 

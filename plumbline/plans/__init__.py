@@ -1 +1 @@
-
+"""Work on whole models and whole analyses."""

@@ -59,3 +59,13 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(staged: DataFrame) -> DataFrame:
+    """A staged table over at least as many partitions as there are cores.
+
+    For compute-heavy iterations over few input splits; a large table has more splits than cores and
+    is returned as it is.
+    """
+    cores = staged.sparkSession.sparkContext.defaultParallelism
+    return staged if staged.rdd.getNumPartitions() >= cores else staged.repartition(cores)
