@@ -14,7 +14,7 @@ with numbered as (
          lpad(cast(month(l_shipdate) as string), 2, '0') as m,
          lpad(cast(day(l_shipdate) as string), 2, '0') as d,
          substr('JanFebMarAprMayJunJulAugSepOctNovDec', cast(month(l_shipdate) * 3 - 2 as int), 3) as mon
-  from lineitem
+  from {lineitem}
 ), dirty as (
   select
     'ORD-' || cast(l_orderkey as string) as order_id,

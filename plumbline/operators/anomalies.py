@@ -145,7 +145,7 @@ def anomaly_summary(detected: DataFrame) -> DataFrame:
     """Number and share of flagged rows, in one row."""
     flagged = F.count_if("is_anomaly")
     return detected.agg(
-        flagged.alias("total_anomalies"), F.round(flagged / F.count(F.lit(1)) * 100, 2).alias("anomaly_pct")
+        flagged.alias("total_anomalies"), F.round(flagged * 100 / F.count(F.lit(1)), 2).alias("anomaly_pct")
     )
 
 

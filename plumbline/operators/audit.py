@@ -6,6 +6,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from plumbline.functions.numbers import half_up
 from plumbline.functions.text import trimmed
 from plumbline.operators.columns import numeric_columns, text_columns, time_columns
 from plumbline.operators.distinct import duplicate_rows
@@ -85,7 +86,7 @@ class Audit:
 
 
 def percentage(part: Column, whole: Column) -> Column:
-    return F.round(part / F.greatest(whole, F.lit(1)) * 100, 2)
+    return F.round(part * 100 / F.greatest(whole, F.lit(1)), 2)
 
 
 def health_score() -> Column:
@@ -150,7 +151,7 @@ def audit(df: DataFrame) -> Audit:
                 detected[c],
                 f.dataType.simpleString(),
                 missing,
-                round(missing / rows * 100, 2),
+                half_up(missing * 100 / rows, 2),
                 distinct,
                 outliers.get(c, 0),
                 detected[c] == "dirty_numeric",

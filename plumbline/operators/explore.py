@@ -179,7 +179,7 @@ def breakdown(df: DataFrame, category: str, metric: str | None = None, top: int
     grouped = df.filter(quoted(category).isNotNull()).groupBy(quoted(category).cast("string").alias("category"))
     shown = grouped.agg(F.round(value, 2).alias("value")).orderBy(F.desc_nulls_last("value"), "category").limit(top)
     # At most ``top`` rows are left.
-    share = F.col("value") / F.sum("value").over(Window.partitionBy(F.lit(0))) * 100
+    share = F.col("value") * 100 / F.sum("value").over(Window.partitionBy(F.lit(0)))
     return shown.select("*", F.round(share, 1).alias("share_pct"))
 
 

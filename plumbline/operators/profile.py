@@ -5,8 +5,9 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from plumbline.functions.numbers import half_up
 from plumbline.operators.columns import (
     dimension_columns, metric_columns, number, numeric_columns, per_column, quoted, text_columns,
 )
@@ -51,17 +52,10 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
         q1, median, q3 = quantiles[c].values
         skew, kurt = corrected_moments(n, std, row[f"skew{i}"], row[f"kurt{i}"])
         figures = [row[f"mean{i}"], median, std, variance, row[f"min{i}"], q1, q3, row[f"max{i}"], q3 - q1]
-        rows.append((c, n, row["rows"] - n, *[_half_up(x, 2) for x in figures], _half_up(skew, 3), _half_up(kurt, 3), shape(skew)))
+        rows.append((c, n, row["rows"] - n, *[half_up(x, 2) for x in figures], half_up(skew, 3), half_up(kurt, 3), shape(skew)))
     return df.sparkSession.createDataFrame(rows, PROFILE_SCHEMA)
 
 
-def _half_up(x: float, digits: int) -> float:
-    """Rounding as Spark's ``round`` does it, on the decimal form of the number."""
-    from decimal import ROUND_HALF_UP, Decimal
-
-    return float(Decimal(repr(float(x))).quantize(Decimal(1).scaleb(-digits), rounding=ROUND_HALF_UP))
-
-
 def corrected_moments(n: int, std: float, skew: float | None, kurt: float | None) -> tuple[float, float]:
     """Bias-corrected skewness and excess kurtosis from the population ones; 0 for flat or tiny data."""
     if n <= 3 or std <= 1e-4 or skew is None or not math.isfinite(skew):
@@ -156,7 +150,7 @@ def frequencies(df: DataFrame, columns: list[str] | None = None, top: int = TOP_
     totals = counts.groupBy("column").agg(F.sum("count").alias("total"))
     best_first = Window.partitionBy("column").orderBy(F.desc("count"), "value")
     leaders = counts.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= top)
-    shares = leaders.join(totals, "column").withColumn("percentage", F.round(F.col("count") / F.col("total") * 100, 1))
+    shares = leaders.join(totals, "column").withColumn("percentage", F.round(F.col("count") * 100 / F.col("total"), 1))
     running = Window.partitionBy("column").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     return shares.select(
         "column", "rank", F.col("value").alias("category"), "count", "percentage",

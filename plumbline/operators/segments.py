@@ -136,6 +136,6 @@ def personas(segmentation: Segmentation) -> DataFrame:
         F.col("cluster").alias("cluster_id"),
         F.concat(F.lit("Cluster "), F.col("cluster").cast("string"), F.lit(": "), name).alias("name"),
         "size",
-        F.round(F.col("size") / F.col("rows") * 100, 1).alias("percentage"),
+        F.round(F.col("size") * 100 / F.col("rows"), 1).alias("percentage"),
         F.slice("traits", 1, KEPT_TRAITS).alias("key_traits"),
     )

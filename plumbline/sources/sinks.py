@@ -54,7 +54,7 @@ def export_model(model: Model, path: str, name: str = "model") -> DataFrame:
     edges = [f"{r.from_table}.{r.from_col} -> {r.to_table}.{r.to_col} ({r.cardinality})" for r in model.relationships]
     rows = []
     for table, (schema, where) in written.items():
-        count = spark.read.option("header", True).option("escape", '"').schema(schema).csv(where).count()
+        count = spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(schema).csv(where).count()
         types = {f.name: type_name(f.dataType) for f in schema}
         rows.append((name, table, count, [f.name for f in schema], types, edges))
     manifest = spark.createDataFrame(
