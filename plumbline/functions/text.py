@@ -60,8 +60,9 @@ def to_number(c: Column, percent_as_fraction: bool = False) -> Column:
 
     A percent sign is dropped without scaling unless ``percent_as_fraction`` is set.
     """
-    bare = strip_number_text(c)
-    number = F.when(bare.rlike(NUMBER_PATTERN), bare.try_cast("double"))
+    # Matching and extracting in one step: the stripped text is computed once per value.
+    matches = F.regexp_extract_all(strip_number_text(c), F.lit(NUMBER_PATTERN), F.lit(0))
+    number = F.try_element_at(matches, F.lit(1)).try_cast("double")
     if percent_as_fraction:
         number = F.when(c.contains("%"), number / 100).otherwise(number)
     return number

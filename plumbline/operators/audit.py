@@ -115,6 +115,7 @@ def audit(df: DataFrame) -> Audit:
         F.count(F.lit(1)).alias("distinct"),
         F.sum(F.when(F.col("token"), F.col("count")).otherwise(0)).alias("tokens"),
         F.sum(F.when(F.col("number").isNotNull(), F.col("count")).otherwise(0)).alias("numbers"),
+        F.count("number").alias("number_rows"),
         F.sum(F.when(F.col("time").isNotNull(), F.col("count")).otherwise(0)).alias("times"),
     )
     seen = {r["column"]: r for r in per_column.collect()}
@@ -135,7 +136,8 @@ def audit(df: DataFrame) -> Audit:
             detected[c] = "datetime"
 
     measured = [c for c in df.columns if detected[c] in ("numeric", "dirty_numeric")]
-    outliers = tukey_outliers(values, {c: of_column(c) for c in measured}, weight=F.col("count"))
+    known = {c: (seen[c]["numbers"], seen[c]["number_rows"]) for c in measured}
+    outliers = tukey_outliers(values, {c: of_column(c) for c in measured}, weight=F.col("count"), known=known)
     strings = [c for c in texts if detected[c] == "string" and c in seen]
     folded = folded_distinct(values, strings)
 
@@ -171,10 +173,11 @@ def folded_distinct(values: DataFrame, columns: list[str]) -> dict[str, int]:
 
 
 def tukey_outliers(
-    df: DataFrame, values: dict[str, Column], fence: float = FENCE, at_least: int = 4, weight: Column | None = None
+    df: DataFrame, values: dict[str, Column], fence: float = FENCE, at_least: int = 4,
+    weight: Column | None = None, known: dict[str, tuple[int, int]] | None = None,
 ) -> dict[str, int]:
     """Values outside the quartiles by more than ``fence`` interquartile ranges, per column."""
-    quartiles = exact_quantiles(df, values, [0.25, 0.75], weight=weight)
+    quartiles = exact_quantiles(df, values, [0.25, 0.75], weight=weight, known=known)
     bounds = {c: fences(*q.values, fence) for c, q in quartiles.items() if q.count >= at_least}
     return count_outside(df, values, bounds, weight)
 

@@ -14,8 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plumbline.functions.text import collapse_spaces, title_case, to_number, to_timestamp, without_null_tokens
 from plumbline.operators.audit import count_outside, fences
 from plumbline.operators.columns import DERIVED_SUFFIXES, is_key_name, number, numeric_columns, quoted, text_columns
-from plumbline.operators.distinct import small_cardinalities
-from plumbline.operators.distribution import ROWS, of_column, read_values
+from plumbline.operators.distribution import ROWS, number_counts, of_column, read_values
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.session import stage
 
@@ -167,16 +166,15 @@ def fill_missing(df: DataFrame, fills: dict[str, float | str]) -> DataFrame:
     return df.withColumns(out)
 
 
-def outlier_scope(values: DataFrame, columns: list[str]) -> list[str]:
+def outlier_scope(counts: dict[str, tuple[int, int]], columns: list[str]) -> list[str]:
     """Columns whose outliers may be treated: no keys or calendar flags, over 3 values."""
-    names = [c for c in columns if not is_key_name(c) and not c.lower().endswith(DERIVED_SUFFIXES)]
-    counts = small_cardinalities(values, {c: of_column(c) for c in names}, 3)
-    return [c for c in names if counts[c] > 3]
+    named = [c for c in columns if not is_key_name(c) and not c.lower().endswith(DERIVED_SUFFIXES)]
+    return [c for c in named if c in counts and counts[c][1] > 3]
 
 
 @dataclass
 class Outliers:
-    """What outlier treatment found: bounds to clip to, outlier counts, and every column's median.
+    """What outlier treatment found: bounds to clip to, outlier counts, every column's median and size.
 
     Clipping keeps the middle of a column in place, so the medians hold after it as well.
     """
@@ -184,14 +182,16 @@ class Outliers:
     clips: dict[str, tuple[float, float]]
     counts: dict[str, int]
     medians: dict[str, float]
+    present: dict[str, int]
 
 
 def find_outliers(values: DataFrame, columns: list[str], strategy: str = "winsorize") -> Outliers:
     """Outliers of the numeric ``columns`` of a value distribution."""
-    numbers, weight = {c: of_column(c) for c in columns}, F.col("count")
-    quantiles = exact_quantiles(values, numbers, [0.01, 0.25, 0.5, 0.75, 0.99], weight=weight)
+    counted = number_counts(values)
+    numbers, weight = {c: of_column(c) for c in columns if c in counted}, F.col("count")
+    quantiles = exact_quantiles(values, numbers, [0.01, 0.25, 0.5, 0.75, 0.99], weight=weight, known=counted)
     bounds = {}
-    for c in outlier_scope(values, columns):
+    for c in outlier_scope(counted, columns):
         p01, q1, _, q3, p99 = quantiles[c].values
         if quantiles[c].count >= 10 and q3 > q1:
             bounds[c] = fences(q1, q3, FENCE)
@@ -201,49 +201,52 @@ def find_outliers(values: DataFrame, columns: list[str], strategy: str = "winsor
         clips = {c: (quantiles[c].values[0], quantiles[c].values[4]) for c in counts}
     elif strategy == "clip_iqr":
         clips = {c: bounds[c] for c in counts}
-    return Outliers(clips, counts, {c: q.values[2] for c, q in quantiles.items() if q.count})
+    medians = {c: q.values[2] for c, q in quantiles.items()}
+    return Outliers(clips, counts, medians, {c: q.count for c, q in quantiles.items()})
 
 
 def numeric_fills(
-    values: DataFrame,
-    columns: list[str],
-    rows: int,
-    strategy: str = "median",
-    clips: dict[str, tuple[float, float]] | None = None,
-    medians: dict[str, float] | None = None,
+    values: DataFrame, columns: list[str], rows: int, strategy: str = "median", outliers: Outliers | None = None
 ) -> tuple[dict[str, float], dict[str, int]]:
     """Fill values of the numeric columns that may be imputed, and how many values each fills.
 
     Keys are never filled. A column with over 40 % missing is filled with 0 if its name says that it
-    holds an optional amount, and left alone otherwise.
+    holds an optional amount, and left alone otherwise. After outlier treatment, its findings save
+    counting again, and means are those of the clipped values.
     """
     names = [c for c in columns if not is_key_name(c)]
-    if not names:
-        return {}, {}
-    weight = F.col("count")
-    sums = []
-    for i, c in enumerate(names):
-        v = of_column(c)
-        clipped = _clip(v, *clips[c]) if clips and c in clips else v
-        sums += [F.sum(F.when(v.isNotNull(), weight)).alias(f"n{i}"), F.sum(clipped * weight).alias(f"sum{i}")]
-    row = values.agg(*sums).first()
-    present = {c: row[f"n{i}"] or 0 for i, c in enumerate(names)}
-    missing = {c: rows - n for c, n in present.items() if n < rows}
+    if outliers is None:
+        present = {c: n for c, (n, _) in number_counts(values).items()}
+    else:
+        present = outliers.present
+    missing = {c: rows - present.get(c, 0) for c in names if present.get(c, 0) < rows}
     sparse = [c for c in missing if missing[c] > SPARSE_SHARE * rows]
     dense = [c for c in missing if c not in sparse]
     fills = {c: 0.0 for c in sparse if any(word in c.lower() for word in OPTIONAL_AMOUNTS)}
     if strategy == "zero":
         fills |= {c: 0.0 for c in dense}
     elif strategy == "mean":
-        fills |= {c: round(row[f"sum{names.index(c)}"] / present[c], 2) for c in dense}
+        fills |= _means(values, dense, outliers.clips if outliers else {})
+    elif outliers is not None:
+        fills |= {c: outliers.medians[c] for c in dense}
     else:
-        if medians is None:
-            found = exact_quantiles(values, {c: of_column(c) for c in dense}, [0.5], weight=weight)
-            medians = {c: q.values[0] for c, q in found.items()}
-        fills |= {c: medians[c] for c in dense}
+        found = exact_quantiles(values, {c: of_column(c) for c in dense}, [0.5], weight=F.col("count"))
+        fills |= {c: q.values[0] for c, q in found.items()}
     return fills, {c: missing[c] for c in fills}
 
 
+def _means(values: DataFrame, columns: list[str], clips: dict[str, tuple[float, float]]) -> dict[str, float]:
+    """Means rounded to 2, of the clipped values where a column is clipped."""
+    if not columns:
+        return {}
+    weight, means = F.col("count"), []
+    for i, c in enumerate(columns):
+        v = _clip(of_column(c), *clips[c]) if c in clips else of_column(c)
+        means.append(F.round(F.sum(v * weight) / F.sum(F.when(v.isNotNull(), weight)), 2).alias(f"m{i}"))
+    row = values.agg(*means).first()
+    return {c: row[f"m{i}"] for i, c in enumerate(columns)}
+
+
 def categorical_fills(
     values: DataFrame, columns: list[str], rows: int, strategy: str = "mode"
 ) -> tuple[dict[str, str], dict[str, int]]:
@@ -371,14 +374,14 @@ def fit(df: DataFrame, config: CleaningConfig | None = None) -> tuple[CleaningPl
     out = plan.typed(base)
     # A missing date is no weekend, so the weekend flag has no gaps and is outside the outlier scope.
     numbers = [c for c in numeric_columns(out) if not c.endswith("_IsWeekend") or c in df.columns]
-    medians = None
+    found = None
     if config.treat_outliers:
         found = find_outliers(cleaned, numbers, config.outlier_strategy)
-        plan.clips, medians = found.clips, found.medians
+        plan.clips = found.clips
         for c, n in found.counts.items():
             plan.log.append(LogEntry("outliers", c, config.outlier_strategy, n))
     if config.impute_missing and rows:
-        fills, filled_in = numeric_fills(cleaned, numbers, rows, config.numeric_impute_strategy, plan.clips, medians)
+        fills, filled_in = numeric_fills(cleaned, numbers, rows, config.numeric_impute_strategy, found)
         more, more_filled = categorical_fills(cleaned, text_columns(out), rows, config.categorical_impute_strategy)
         plan.fills = {**fills, **more}
         for c, n in {**filled_in, **more_filled}.items():

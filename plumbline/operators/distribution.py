@@ -84,3 +84,11 @@ def of_column(name: str, value: str = "number") -> Column:
 def total_rows(values: DataFrame) -> int:
     row = values.filter(F.col("column") == ROWS).agg(F.sum("count").alias("n")).first()
     return row["n"] or 0
+
+
+def number_counts(values: DataFrame) -> dict[str, tuple[int, int]]:
+    """Numbers and distinct numbers of every column of a distribution, from one pass."""
+    found = values.filter(F.col("number").isNotNull()).groupBy("column").agg(
+        F.sum("count").alias("n"), F.count_distinct("number").alias("distinct")
+    )
+    return {r["column"]: (r["n"], r["distinct"]) for r in found.collect()}

@@ -109,10 +109,12 @@ def exact_quantiles(
     probs: list[float],
     limit: int = DISTINCT_LIMIT,
     weight: Column | None = None,
+    known: dict[str, tuple[int, int]] | None = None,
 ) -> dict[str, Quantiles]:
     """Linearly interpolated quantiles of numeric expressions over all rows of ``df``.
 
-    With ``weight``, each row stands for that many equal rows (a value distribution).
+    With ``weight``, each row stands for that many equal rows (a value distribution). A caller that
+    has counted already passes ``known``: values, and at most how many distinct ones, per expression.
     """
     if not values:
         return {}
@@ -124,16 +126,18 @@ def exact_quantiles(
     )
     column = {n: F.col(f"v{i}") for i, n in enumerate(names)}
 
-    first = data.agg(
-        *[F.sum(F.when(c.isNotNull(), F.col("w"))).alias(f"n{i}") for i, c in enumerate(column.values())],
-        *[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(column.values())],
-    ).first()
-    result = {n: Quantiles(first[f"n{i}"] or 0, [None] * len(probs)) for i, n in enumerate(names)}
+    if known is None:
+        first = data.agg(
+            *[F.sum(F.when(c.isNotNull(), F.col("w"))).alias(f"n{i}") for i, c in enumerate(column.values())],
+            *[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(column.values())],
+        ).first()
+        known = {n: (first[f"n{i}"] or 0, first[f"d{i}"]) for i, n in enumerate(names)}
+    result = {n: Quantiles(known[n][0], [None] * len(probs)) for n in names}
     # The distinct estimate errs by a few percent; half the limit leaves it ample room.
     limit = limit // 2
     brackets = {
-        (n, p): _Bracket(p * (result[n].count - 1), -math.inf, math.inf, 0, result[n].count, first[f"d{i}"])
-        for i, n in enumerate(names)
+        (n, p): _Bracket(p * (result[n].count - 1), -math.inf, math.inf, 0, result[n].count, known[n][1])
+        for n in names
         for p in probs
         if result[n].count
     }

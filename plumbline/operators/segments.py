@@ -51,8 +51,11 @@ def standardized(df: DataFrame, features: list[str]) -> DataFrame:
     return scaler.fit(assembled).transform(assembled).drop("raw_vector")
 
 
-def segment(df: DataFrame, features: list[str] | None = None, restarts: int = 2) -> Segmentation | None:
-    """K-means for each k in the sweep, the best of ``restarts`` runs each, over all complete rows.
+def segment(df: DataFrame, features: list[str] | None = None, restarts: int = 1) -> Segmentation | None:
+    """K-means for each k in the sweep, over all complete rows; more ``restarts`` keep the best run.
+
+    One run per k is the default: the parallel k-means++ start is stable, and each further run reads
+    the table some twenty times.
 
     The k with the highest silhouette (squared Euclidean) wins, the smaller on ties. None for fewer
     than two features or 15 complete rows.
