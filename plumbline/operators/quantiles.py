@@ -15,8 +15,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-# Distinct values that one aggregation buffer may hold.
+# Distinct values that one aggregation buffer, and all buffers of one pass, may hold.
 DISTINCT_LIMIT = 200_000
+PASS_LIMIT = 2_000_000
 # Rows of one group that a single task may sort (it spills; only its time is bounded by this).
 GROUP_LIMIT = 2_000_000
 
@@ -134,7 +135,7 @@ def exact_quantiles(
         known = {n: (first[f"n{i}"] or 0, first[f"d{i}"]) for i, n in enumerate(names)}
     result = {n: Quantiles(known[n][0], [None] * len(probs)) for n in names}
     # The distinct estimate errs by a few percent; half the limit leaves it ample room.
-    limit = limit // 2
+    limit = min(limit, PASS_LIMIT // (len(names) * len(probs))) // 2
     brackets = {
         (n, p): _Bracket(p * (result[n].count - 1), -math.inf, math.inf, 0, result[n].count, known[n][1])
         for n in names
