@@ -51,7 +51,7 @@ def strip_number_text(c: Column) -> Column:
     A unit may follow the digits directly (``45kg``) or stand as a word (``3,144 SQ FT``).
     """
     bare = F.translate(c, NUMBER_SYMBOLS, "")
-    unit = rf"(?i)(?:(?<=[0-9])\s*|\b)(?:{UNIT_WORDS})\b"
+    unit = rf"(?i)(?<![A-Za-z_])(?:{UNIT_WORDS})\b"
     return trimmed(F.when(bare.rlike("[A-Za-z]"), F.regexp_replace(bare, unit, "")).otherwise(bare))
 
 
@@ -99,14 +99,12 @@ def collapse_spaces(c: Column) -> Column:
 def title_case(c: Column) -> Column:
     """First letter of every run of letters in upper case, the rest in lower case.
 
-    ``initcap`` breaks words at spaces only, so it serves text of letters and spaces; anything else
-    (``e-commerce``, ``o'brien``) is split into runs of letters and of other characters.
+    ``initcap`` starts a word after a space only. So a marked space goes before every letter that
+    follows another non-letter (``e-commerce``, ``o'brien``) and is taken out again.
     """
-    runs = F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
-    by_runs = F.array_join(
-        F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.substr(r, F.lit(2)))), ""
-    )
-    return F.when(c.rlike(r"^[\p{L} ]*$"), F.initcap(c)).otherwise(by_runs)
+    mark = "\x01 "
+    spread_out = F.regexp_replace(c, r"([^\p{L} ])(?=\p{L})", "$1" + mark)
+    return F.replace(F.initcap(spread_out), F.lit(mark), F.lit(""))
 
 
 def compact_number(c: Column) -> Column:

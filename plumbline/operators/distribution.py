@@ -17,43 +17,46 @@ from plumbline.operators.columns import quoted
 ROWS = "\0rows"
 
 
-def _entry(name: str, text: Column | None = None, whole: Column | None = None, real: Column | None = None) -> Column:
+def _entry(index: int, text: Column | None = None, whole: Column | None = None, real: Column | None = None) -> Column:
     null = F.lit(None)
     return F.struct(
-        F.lit(name).alias("column"),
+        F.lit(index).alias("index"),
         (null if text is None else text).cast("string").alias("text"),
         (null if whole is None else whole).cast("bigint").alias("whole"),
         (null if real is None else real).cast("double").alias("real"),
     )
 
 
-def _entry_for(f: T.StructField) -> Column:
+def _entry_for(index: int, f: T.StructField) -> Column:
     c = quoted(f.name)
     if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-        return _entry(f.name, real=F.when(~F.isnan(c), c))
+        return _entry(index, real=F.when(~F.isnan(c), c))
     if isinstance(f.dataType, (T.IntegralType, T.BooleanType)):
-        return _entry(f.name, whole=c)
+        return _entry(index, whole=c)
     if isinstance(f.dataType, T.TimestampType):
-        return _entry(f.name, whole=F.unix_micros(c))
+        return _entry(index, whole=F.unix_micros(c))
     if isinstance(f.dataType, T.DateType):
-        return _entry(f.name, whole=F.unix_date(c))
+        return _entry(index, whole=F.unix_date(c))
     if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
-        return _entry(f.name, text=F.to_json(c))
-    return _entry(f.name, text=c)
+        return _entry(index, text=F.to_json(c))
+    return _entry(index, text=c)
 
 
 def distribution(df: DataFrame) -> DataFrame:
     """``column, text, whole, real, count`` for every non-null value, plus the ``ROWS`` entry.
 
-    Integers stay 64-bit and texts stay texts, so distinct values stay distinct.
+    Integers stay 64-bit and texts stay texts, so distinct values stay distinct. Columns travel as
+    numbers through the shuffle and get their names after it.
     """
-    entries = [_entry(ROWS, whole=F.lit(1)), *[_entry_for(f) for f in df.schema]]
-    return (
+    entries = [_entry(0, whole=F.lit(1)), *[_entry_for(i, f) for i, f in enumerate(df.schema, 1)]]
+    names = F.array(*[F.lit(n) for n in [ROWS, *df.columns]])
+    counts = (
         df.select(F.inline(F.array(*entries)))
-        .filter(F.coalesce("text", F.col("whole").cast("string"), F.col("real").cast("string")).isNotNull())
-        .groupBy("column", "text", "whole", "real")
+        .filter(F.col("text").isNotNull() | F.col("whole").isNotNull() | F.col("real").isNotNull())
+        .groupBy("index", "text", "whole", "real")
         .agg(F.count(F.lit(1)).alias("count"))
     )
+    return counts.select(names[F.col("index")].alias("column"), "text", "whole", "real", "count")
 
 
 def read_values(df: DataFrame) -> DataFrame:
