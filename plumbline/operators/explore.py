@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from plumbline.functions.text import coerce_number, display
 from plumbline.operators.columns import number, quoted
-from plumbline.operators.quantiles import grouped_median
+from plumbline.operators.quantiles import exact_quantiles, grouped_median
 
 TOP_GROUPS, TREND_POINTS, BREAKDOWN, SCATTER_POINTS = 16, 15, 6, 300
+# Rows before a page from which on they are skipped by rank.
+DEEP_OFFSET = 100_000
 
 
 def _is_number(value) -> bool:
@@ -80,13 +82,55 @@ def sort_rows(df: DataFrame, by: str, ascending: bool = True, tie_break: list[st
 
 def page(
     df: DataFrame, number_: int = 1, size: int = 15, sort_by: str | None = None, ascending: bool = True,
-    tie_break: list[str] | None = None,
+    tie_break: list[str] | None = None, deep: int = DEEP_OFFSET,
 ) -> DataFrame:
-    """One page of rows in a stated order; ties are broken by all columns unless ``tie_break`` is given."""
+    """One page of rows in a stated order; ties are broken by all columns unless ``tie_break`` is given.
+
+    Spark keeps offset + limit rows per task to find a page, so for a page far down the rows before it
+    are skipped by exact ranks first.
+    """
     number_, size = max(1, number_), min(100, max(5, size))
     tie_break = list(df.columns) if tie_break is None else tie_break
-    ordered = sort_rows(df, sort_by or tie_break[0], ascending, tie_break)
-    return ordered.offset((number_ - 1) * size).limit(size)
+    sort_by, offset = sort_by or tie_break[0], (number_ - 1) * size
+    if offset > deep:
+        keys = [(sort_by, ascending), *[(c, True) for c in tie_break if c != sort_by]]
+        df, offset = _skip(df, keys, offset, deep)
+    return sort_rows(df, sort_by, ascending, tie_break).offset(offset).limit(size)
+
+
+def _skip(df: DataFrame, keys: list[tuple[str, bool]], offset: int, deep: int) -> tuple[DataFrame, int]:
+    """``df`` without rows that precede the offset, and the offset that remains.
+
+    Works through the sort columns while they are numbers or times: the value at the rank is found
+    exactly, smaller ones are counted and dropped, and ties go on to the next column.
+    """
+    keep, tied = F.lit(False), F.lit(True)
+    for i, (name, ascending) in enumerate(keys):
+        key = _sort_number(df, name)
+        if offset <= deep or key is None:
+            break
+        key = key if ascending else -key
+        rows = df.filter(tied)
+        n = rows.agg(F.count(key).alias("n")).first()["n"]
+        # Missing values come last in the first column only; elsewhere they are left to the final sort.
+        if offset > n or (i > 0 and n < rows.count()):
+            break
+        value = exact_quantiles(rows, {"key": key}, [max(0, offset - 1) / max(1, n - 1)])["key"].values[0]
+        offset -= rows.agg(F.count_if(key < F.lit(value)).alias("below")).first()["below"]
+        keep = keep | (tied & ((key > F.lit(value)) | key.isNull()))
+        tied = tied & (key == F.lit(value))
+        if isinstance(df.schema[name].dataType, (T.LongType, T.DecimalType)):
+            break  # as doubles, different values may tie: the final sort tells them apart
+    return df.filter(keep | tied), offset
+
+
+def _sort_number(df: DataFrame, name: str) -> Column | None:
+    dtype = df.schema[name].dataType
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(quoted(name)).cast("double")
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(quoted(name)).cast("double")
+    return quoted(name).cast("double") if isinstance(dtype, T.NumericType) else None
 
 
 def page_info(df: DataFrame, size: int = 15) -> DataFrame:

@@ -55,6 +55,17 @@ def test_rest_of_exploration(spark):
     assert ex.page_info(df, 1).first()["total_pages"] == 1  # the page size is at least 5
 
 
+@pytest.mark.parametrize("ascending", [True, False])
+@pytest.mark.parametrize("number", [1, 9, 21, 29, 33, 40])
+def test_deep_pages_match_shallow_ones(spark, number, ascending):
+    rng = np.random.default_rng(11)
+    rows = [(None if i % 10 == 0 else float(rng.integers(0, 3)), int(rng.integers(0, 40)), f"r{i:03}") for i in range(200)]
+    df = spark.createDataFrame(rows, "v double, k int, name string")
+    shallow = ex.page(df, number, 5, "v", ascending).collect()
+    assert ex.page(df, number, 5, "v", ascending, deep=10).collect() == shallow
+    assert len(shallow) == 5
+
+
 def test_isolation_forest(spark):
     rng = np.random.default_rng(7)
     points = [(i, *map(float, rng.normal(size=3))) for i in range(1000)] + [(2000 + i, 30.0 + i, -30.0, 30.0) for i in range(5)]
