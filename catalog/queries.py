@@ -99,13 +99,13 @@ UNIFIED = f"""
 @register(
     "summarize_region",
     f"""select region_name, {q.rnd('sum(extendedprice)', 2)} as revenue,
-        {q.rnd('sum(discount) / sum(quantity)', 2)} as discount_per_unit, cast(count(*) as bigint) as records
+        {q.rnd('sum(extendedprice * discount) / sum(extendedprice)', 2)} as discount_share, cast(count(*) as bigint) as records
         from {UNIFIED} where region_name is not null group by region_name order by revenue desc limit 20""",
 )
 def summarize_region(spark, sf):
     measures = {
         "revenue": ms.total(F.col("extendedprice")),
-        "discount_per_unit": ms.divide(F.sum("discount"), F.sum("quantity")),
+        "discount_share": ms.divide(F.sum(F.col("extendedprice") * F.col("discount")), F.sum("extendedprice")),
         "records": ms.row_count(),
     }
     return pm.summarize(sales_model(spark, sf), "lineitem", [("region", "name")], measures)
