@@ -15,6 +15,7 @@ from plumbline.llm.decontaminate import find_overlaps
 from plumbline.llm.line_dedup import drop_repeated_lines
 from plumbline.llm.packing import pack_documents
 from plumbline.llm.secrets import scan_secrets
+from plumbline.llm.simhash import simhash_components
 from plumbline.llm.warc import archive_folder, read_warc, write_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +69,12 @@ def op6(spark, sf):
         table(spark, sf, "documents", "doc_id", "text"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@register("op3_simhash")
+def op3(spark, sf):
+    """Near-duplicates of all documents by 64-bit fingerprints."""
+    return simhash_components(table(spark, sf, "documents", "doc_id", "text"))
+
+
 def sha256_of(df: DataFrame, column: str, name: str) -> DataFrame:
     """``column`` replaced by its hash; null counts as empty."""
     return df.select("*", F.sha2(F.encode(F.coalesce(F.col(column), F.lit("")), "utf-8"), 256).alias(name)).drop(column)
