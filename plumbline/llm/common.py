@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from plumbline.session import stage
 
 REST = "__rest"
+SEGMENT = 1 << 16  # bits of a filter that travel in one row
+MAX_BITS = 1 << 29  # 64 MB: the bound of a broadcast filter
 
 
 def pack(df: DataFrame, *columns: str) -> DataFrame:
@@ -47,6 +53,70 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+def _positions(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
+    mask = np.uint64(bits - 1)
+    return [(hashes & mask).astype(np.int64), ((hashes >> np.uint64(32)) & mask).astype(np.int64)]
+
+
+def _set(filter_: np.ndarray, at: np.ndarray) -> None:
+    np.bitwise_or.at(filter_, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+
+def _has(filter_: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (filter_[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def may_have(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which 64-bit hashes a Bloom filter may hold; none that it holds is missed."""
+    a, b = _positions(hashes, 8 * len(filter_))
+    return _has(filter_, a) & _has(filter_, b)
+
+
+def seen_filter(df: DataFrame, hashes: Callable[[pa.RecordBatch], list], count: int, max_bits: int = MAX_BITS, twice: bool = False) -> np.ndarray:
+    """A Bloom filter of the 64-bit hashes that occur in ``df``, or of those that may occur twice.
+
+    Every task fills two filters, for hashes seen once and seen twice; a hash in the first filter of two tasks has been
+    seen twice. Segments of the filters are merged in two levels, each with a bounded number of rows per group. There
+    are 16 bits per expected hash, ``max_bits`` at most: that bounds what the driver holds and broadcasts, and a fuller
+    filter only has more false hits.
+    """
+    bits = min(max_bits, max(SEGMENT, 1 << math.ceil(math.log2(16 * count + 1))))
+    step = SEGMENT // 8
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, two = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            values, counts = np.unique(np.asarray(hashes(batch), np.uint64), return_counts=True)
+            again = (counts > 1) | may_have(one, values)
+            for at in _positions(values, bits):
+                _set(one, at)
+                _set(two, at[again])
+        used = np.flatnonzero(one.reshape(-1, step).any(axis=1))
+        task = TaskContext.get().partitionId()
+        for s in range(0, len(used), 256):
+            ids = used[s:s + 256]
+            packed = [[zlib.compress(f[i * step:(i + 1) * step], 1) for i in ids] for f in (one, two)]
+            yield pa.RecordBatch.from_pydict({"segment": ids.astype(np.int32), "task": np.full(len(ids), task, np.int32), "one": packed[0], "two": packed[1]})
+
+    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        one, two = np.zeros(step, np.uint8), np.zeros(step, np.uint8)
+        for a, b in zip(rows["one"], rows["two"]):
+            a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
+            two |= b | (one & a)
+            one |= a
+        return pd.DataFrame({"segment": [key[0]], "one": [zlib.compress(one, 1)], "two": [zlib.compress(two, 1)]})
+
+    shape = "segment int, one binary, two binary"
+    fan = math.isqrt(max(1, df.rdd.getNumPartitions())) + 1
+    parts = df.mapInArrow(fill, "segment int, task int, one binary, two binary")
+    parts = parts.groupBy("segment", (F.col("task") % fan).alias("part")).applyInPandas(merge, shape)
+    merged = parts.groupBy("segment").applyInPandas(merge, shape)
+    out = np.zeros(bits // 8, np.uint8)
+    for row in merged.select("segment", F.col("two" if twice else "one").alias("bits")).toLocalIterator():
+        out[row.segment * step:(row.segment + 1) * step] = np.frombuffer(zlib.decompress(row.bits), np.uint8)
+    return out
+
+
 def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each task's edges as stars around the smallest node of their local component; bounded buffers."""
     def stars(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:

@@ -3,23 +3,17 @@
 from __future__ import annotations
 
 import hashlib
-import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.common import map_rows, pack, unpack
+from plumbline.llm.common import MAX_BITS, map_rows, may_have, pack, seen_filter, unpack
 from plumbline.session import stage
 
 BLANKS = " \t\n\x0b\x0c\r"
-SEGMENT = 1 << 16  # bits of the filters that travel in one row
-MAX_BITS = 1 << 29  # 64 MB: the bound of the broadcast filter
 
 
 def line_keys(text: str | None, min_chars: int) -> list[tuple[str, bytes | None]]:
@@ -35,73 +29,21 @@ def digest(key: bytes) -> bytes:
     return hashlib.blake2b(key, digest_size=16).digest()
 
 
-def _positions(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
-    mask = np.uint64(bits - 1)
-    return [(hashes & mask).astype(np.int64), ((hashes >> np.uint64(32)) & mask).astype(np.int64)]
-
-
-def _set(filter_: np.ndarray, at: np.ndarray) -> None:
-    np.bitwise_or.at(filter_, at >> 3, (1 << (at & 7)).astype(np.uint8))
-
-
-def _has(filter_: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (filter_[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-
-
-def _merge(once: np.ndarray, twice: np.ndarray, more_once: np.ndarray, more_twice: np.ndarray) -> None:
-    """Join two filter pairs: what both have seen once has been seen twice."""
-    twice |= more_twice | (once & more_once)
-    once |= more_once
-
-
 def twice_seen(docs: DataFrame, text: str, min_chars: int, max_bits: int) -> np.ndarray:
     """Bits of the filter of line hashes that may occur in two documents; never misses one.
 
-    Every task fills a pair of filters (seen once, seen twice) with the distinct lines of each document; segments of
-    the pairs are merged in two levels, each with a bounded number of rows per group. The filter has 16 bits a line up
-    to ``max_bits``; beyond that more lines are suspected, which costs shuffle but changes no result.
+    Each document counts a line once. The filter has 16 bits a line up to ``max_bits``; beyond that more lines are
+    suspected, which costs shuffle but changes no result.
     """
     lines = docs.agg(F.sum(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
-    bits = min(max_bits, max(SEGMENT, 1 << math.ceil(math.log2(16 * lines + 1))))
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            hashes = []
-            for t in batch.column(0).to_pylist():
-                hashes += [xxhash.xxh3_64_intdigest(k) for k in {k for _, k in line_keys(t, min_chars) if k is not None}]
-            values, counts = np.unique(np.array(hashes, np.uint64), return_counts=True)
-            at = _positions(values, bits)
-            again = (counts > 1) | (_has(once, at[0]) & _has(once, at[1]))
-            for p in at:
-                _set(once, p)
-                _set(twice, p[again])
-        step = SEGMENT // 8
-        used = np.flatnonzero(once.reshape(-1, step).any(axis=1))
-        task = TaskContext.get().partitionId()
-        for s in range(0, len(used), 256):
-            ids = used[s:s + 256]
-            yield pa.RecordBatch.from_pydict({
-                "segment": ids.astype(np.int32), "task": np.full(len(ids), task, np.int32),
-                "once": [zlib.compress(once[i * step:(i + 1) * step], 1) for i in ids],
-                "twice": [zlib.compress(twice[i * step:(i + 1) * step], 1) for i in ids],
-            })
-
-    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        once, twice = np.zeros(SEGMENT // 8, np.uint8), np.zeros(SEGMENT // 8, np.uint8)
-        for o, t in zip(rows["once"], rows["twice"]):
-            _merge(once, twice, np.frombuffer(zlib.decompress(o), np.uint8), np.frombuffer(zlib.decompress(t), np.uint8))
-        return pd.DataFrame({"segment": [key[0]], "once": [zlib.compress(once, 1)], "twice": [zlib.compress(twice, 1)]})
-
-    pairs = docs.select(text).mapInArrow(fill, "segment int, task int, once binary, twice binary")
-    fan = math.isqrt(max(1, docs.rdd.getNumPartitions())) + 1
-    shape = "segment int, once binary, twice binary"
-    merged = (pairs.groupBy("segment", (F.col("task") % fan).alias("part")).applyInPandas(merge, shape)
-              .groupBy("segment").applyInPandas(merge, shape))
-    out = np.zeros(bits // 8, np.uint8)
-    for row in merged.select("segment", "twice").toLocalIterator():
-        out[row.segment * SEGMENT // 8:(row.segment + 1) * SEGMENT // 8] = np.frombuffer(zlib.decompress(row.twice), np.uint8)
-    return out
+    def hashes(batch: pa.RecordBatch) -> list[int]:
+        out = []
+        for t in batch.column(0).to_pylist():
+            out += [xxhash.xxh3_64_intdigest(k) for k in {k for _, k in line_keys(t, min_chars) if k is not None}]
+        return out
+
+    return seen_filter(docs.select(text), hashes, lines, max_bits, twice=True)
 
 
 def drop_repeated_lines(
@@ -132,8 +74,7 @@ def drop_repeated_lines(
                 own = list({k for _, k in line_keys(t, min_chars) if k is not None})
                 ids += [i] * len(own)
                 keys += own
-            at = _positions(np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64), 8 * len(seen))
-            found = np.flatnonzero(_has(seen, at[0]) & _has(seen, at[1]))
+            found = np.flatnonzero(may_have(seen, np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64)))
             owners = batch.column(0).take(pa.array(np.array(ids, np.int64)[found]))
             yield pa.RecordBatch.from_arrays([owners, pa.array([digest(keys[i]) for i in found], pa.binary())], names=["id", "key"])
 

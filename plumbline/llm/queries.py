@@ -16,6 +16,8 @@ from plumbline.llm.line_dedup import drop_repeated_lines
 from plumbline.llm.packing import pack_documents
 from plumbline.llm.secrets import scan_secrets
 from plumbline.llm.simhash import simhash_components
+from plumbline.llm.suffix_dedup import drop_repeated_strings, sha256
+from plumbline.llm.topk import top_k
 from plumbline.llm.warc import archive_folder, read_warc, write_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +63,18 @@ def op4(spark, sf):
     return read_warc(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@register("op5_top_k", """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as x from embeddings),
+pairs as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.x, c.x) as bigint) as score
+  from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs)
+select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 10
+""")
+def op5(spark, sf):
+    """The ten best of all vectors for each hundredth."""
+    return top_k(table(spark, sf, "embeddings", "vec_id", "embedding"))
+
+
 @register("op6_best_fit_packing")
 def op6(spark, sf):
     """All documents packed into sequences of 2048 tokens."""
@@ -69,6 +83,13 @@ def op6(spark, sf):
         table(spark, sf, "documents", "doc_id", "text"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@register("op2_suffix_dedup")
+def op2(spark, sf):
+    """Every byte of all documents that a repeated string of 400 bytes covers, removed."""
+    done = drop_repeated_strings(table(spark, sf, "documents", "doc_id", "text"))
+    return map_rows(done.drop("text"), "kept_sha256 string", sha256, drop=("kept",))
+
+
 @register("op3_simhash")
 def op3(spark, sf):
     """Near-duplicates of all documents by 64-bit fingerprints."""
