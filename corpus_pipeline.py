@@ -5,14 +5,23 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from plumbline.llm import quality
 from plumbline.llm.decontaminate import find_overlaps
 from plumbline.llm.line_dedup import drop_repeated_lines
 from plumbline.llm.packing import pack_documents
+from plumbline.llm.simhash import drop_near_duplicates
 from plumbline.session import stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of low quality and toxic ones go."""
+    docs = docs.select(*COLUMNS)
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.classify(docs, model).where("keep").select(*COLUMNS)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that five documents share stay in one of them; a document that held nothing else goes."""
     kept = drop_repeated_lines(docs.select(*COLUMNS))
@@ -21,6 +30,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             .withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS))
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of copies and near-copies stays, that with the smallest id."""
+    return drop_near_duplicates(docs.select(*COLUMNS))
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -33,7 +47,10 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("line dedup", line_dedup), ("benchmark decontamination", decontamination), ("best-fit packing", packing)]
+STAGES = [
+    ("quality classifier", quality_filter), ("line dedup", line_dedup), ("simhash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination), ("best-fit packing", packing),
+]
 # Trained classifiers and tokenizers have no SQL form.
 ORACLE_SQL = None
 

@@ -10,6 +10,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from plumbline.llm import html_crf, quality
 from plumbline.llm.common import map_rows
 from plumbline.llm.decontaminate import find_overlaps
 from plumbline.llm.line_dedup import drop_repeated_lines
@@ -83,6 +84,13 @@ def op6(spark, sf):
         table(spark, sf, "documents", "doc_id", "text"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@register("op1_html_crf")
+def op1(spark, sf):
+    """The main text of all pages, by a model trained on a sample of them."""
+    pages = table(spark, sf, "pages", "page_id", "url", "html")
+    return html_crf.extract_main_text(pages, html_crf.train(pages)).drop("html")
+
+
 @register("op2_suffix_dedup")
 def op2(spark, sf):
     """Every byte of all documents that a repeated string of 400 bytes covers, removed."""
@@ -118,6 +126,14 @@ def op7(spark, sf):
     return sha256_of(kept, "text", "kept_sha256")
 
 
+@register("op8_quality")
+def op8(spark, sf):
+    """Quality and toxicity of all documents from their texts and their sites."""
+    docs = table(spark, sf, "documents", "doc_id", "text", "lang", "source")
+    model = quality.train(docs, table(spark, sf, "labels", "doc_id", "quality", "toxic"))
+    return quality.classify(docs, model).drop("text", "lang")
+
+
 @register("op9_secrets")
 def op9(spark, sf):
     """Secrets and linked credential parts of all documents."""
