@@ -14,10 +14,10 @@ from plumbline.llm.common import MAX_BITS, map_rows, may_have, pack, seen_filter
 from plumbline.llm.suffixes import repeated_starts
 from plumbline.session import stage
 
-GRAM = 64  # bytes of the anchors by which equal strings meet
-CHUNK = 4 << 20  # bytes that are anchored at once; longer texts overlap from chunk to chunk
-SHARD = 4 << 20  # bytes per suffix array
-CROWD = 8192  # different segments of one anchor that a shard takes
+CHUNK = 1 << 20  # bytes that are anchored at once; longer texts overlap from chunk to chunk
+SHARD = 2 << 20  # bytes per suffix array
+CROWD = 2048  # different segments of one anchor that a shard takes
+REMEMBERED = 200_000  # segments that a task has sent and does not send again
 POSITION = 24  # low bits of an order key that hold the position in a chunk
 
 TABLE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64)
@@ -31,16 +31,17 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Anchors:
-    """Hashes of all ``GRAM``-byte strings of a chunk: differences of one running polynomial sum modulo 2^64."""
+    """Hashes of all ``gram``-byte strings of a chunk: differences of one running polynomial sum modulo 2^64."""
 
-    def __init__(self, longest: int):
+    def __init__(self, gram: int, longest: int):
+        self.gram = gram
         self.up = _powers(int(BASE), longest)
         self.down = _powers(pow(int(BASE), -1, 1 << 64), longest)
 
     def hashes(self, data: np.ndarray) -> np.ndarray:
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(TABLE[data] * self.up[:len(data)], out=total[1:])
-        h = (total[GRAM:] - total[:-GRAM]) * self.down[:len(data) - GRAM + 1]
+        h = (total[self.gram:] - total[:-self.gram]) * self.down[:len(data) - self.gram + 1]
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
@@ -61,10 +62,10 @@ def _window_min(x: np.ndarray, w: int) -> np.ndarray:
 def segments(texts: list[bytes], length: int, anchors: Anchors, chunk: int = CHUNK) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """The segments of texts, chunk by chunk: (buffer, text number, start in the text, end in the text, anchor hash, place in buffer).
 
-    Every ``length``-byte string belongs to the least hash of its ``GRAM``-byte strings (the first of equal ones). A
+    Every ``length``-byte string belongs to the least hash of its shorter strings (the first of equal ones). A
     segment is the span of consecutive strings of one anchor, so equal strings lie in segments with equal anchors.
     """
-    w = length - GRAM + 1
+    w = length - anchors.gram + 1
     pieces: list[tuple[int, int, bytes]] = []
 
     def cut():
@@ -118,7 +119,7 @@ def _slices(raw: bytes, begin: np.ndarray, strings: np.ndarray, length: int) ->
 def _occurrences(docs: DataFrame, length: int) -> DataFrame:
     """``(id, hash, start, strings, anchor, body)``: every segment of every text by the hashes of its anchor and its bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors = Anchors(2 * CHUNK + length)
+        anchors = Anchors(length // 3, 2 * CHUNK + length)
         for batch in batches:
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             for raw, text, start, strings, anchor, begin in segments(texts, length, anchors):
@@ -139,7 +140,7 @@ def _bodies(docs: DataFrame, length: int, shared: np.ndarray, crowded: np.ndarra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared, crowded = sent.value
-        anchors, seen = Anchors(2 * CHUNK + length), set()
+        anchors, seen = Anchors(length // 3, 2 * CHUNK + length), set()
         for batch in batches:
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             for raw, _, _, strings, anchor, begin in segments(texts, length, anchors):
@@ -151,7 +152,7 @@ def _bodies(docs: DataFrame, length: int, shared: np.ndarray, crowded: np.ndarra
                     if (a, body) not in seen:
                         seen.add((a, body))
                         rows.append((a, body, c, x))
-                if len(seen) > 1_000_000:
+                if len(seen) > REMEMBERED:
                     seen.clear()
                 columns = list(zip(*rows)) or [[], [], [], []]
                 yield pa.RecordBatch.from_arrays(
@@ -230,7 +231,7 @@ def drop_repeated_strings(
     A byte goes if any ``length``-byte string over it starts anywhere else too, in another text or the same one.
     Strings do not cross texts and are judged on the input.
 
-    Equal strings must meet, so each is assigned to an anchor, the least hash of its 64-byte strings; consecutive
+    Equal strings must meet, so each is assigned to an anchor, the least hash of its strings of a third of the length; consecutive
     strings of one anchor form a segment. Segments are counted by hashes alone: equal ones repeat as a whole, and an
     anchor with one segment repeats nothing else. Only segments that share an anchor with different ones travel as
     bytes, once per task and found by a Bloom filter of bounded size; whole anchors are dealt out to shards, and a
@@ -242,8 +243,8 @@ def drop_repeated_strings(
     rows with equal ids are told apart by their text; null ids work like others; an empty table gives no rows; existing
     columns named like an added one are replaced.
     """
-    if length < 2 * GRAM:
-        raise ValueError(f"strings must have at least {2 * GRAM} bytes")
+    if length < 3:
+        raise ValueError("strings must have at least 3 bytes")
     added = ("kept", "n_bytes", "n_removed", "n_spans")
     names = [c for c in docs.columns if c not in added]
     text_hash = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
