@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plumbline.llm.common import map_rows, pack, unpack
 from plumbline.session import stage
 
-SAMPLE = 8000  # labelled documents that the classifier is fitted on
+SAMPLE = 6000  # labelled documents that the classifier is fitted on
 VOCABULARY = 4096  # words that are features
 RARE = 8  # documents of the sample that a feature word must be in
 ROUNDS = 250
@@ -98,9 +99,14 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, penalty: flo
     """
     kept = distinct(texts)
     texts, labels = [texts[i] for i in kept], labels[kept]
-    found = [tokens(t) for t in texts]
+    # Texts are read again in each pass: sets of all tokens would be many times their size.
+    bins = np.zeros(1 << 20, np.int32)
+    for t in texts:
+        bins[list({zlib.crc32(x.encode()) & 0xFFFFF for x in tokens(t)})] += 1
+    often = {int(i) for i in np.flatnonzero(bins >= RARE)}
     seen, held = Counter(), [Counter(), Counter()]
-    for w, y in zip(found, labels):
+    for t, y in zip(texts, labels):
+        w = [x for x in tokens(t) if zlib.crc32(x.encode()) & 0xFFFFF in often]
         seen.update(w)
         for k in (0, 1):
             if y[k]:
@@ -118,13 +124,13 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, penalty: flo
     figures = np.array([style(t) for t in texts]).reshape(-1, STYLES)
     mean, scale = (figures.mean(axis=0), figures.std(axis=0) + 1e-6) if len(texts) else (np.zeros(STYLES), np.ones(STYLES))
     model = TextModel(words, markers, mean, scale, np.zeros((2, len(words) + 4 + STYLES + 1)))
-    rows, columns, dense = [], [], []
-    for i, (w, t) in enumerate(zip(found, texts)):
-        known = sorted(words[x] for x in words.keys() & w)
-        rows += [i] * len(known)
-        columns += known
+    rows, columns, dense = array("q"), array("q"), []
+    for i, t in enumerate(texts):
+        known = sorted(words[x] for x in words.keys() & tokens(t))
+        rows.extend([i] * len(known))
+        columns.extend(known)
         dense.append(model.dense(known, t))
-    rows, columns, dense = np.array(rows, np.int64), np.array(columns, np.int64), np.array(dense).reshape(len(texts), 4 + STYLES + 1)
+    rows, columns, dense = np.array(rows), np.array(columns), np.array(dense).reshape(len(texts), 4 + STYLES + 1)
     for k in range(2 if len(texts) else 0):
         w = model.weights[k]
         m, v = np.zeros(len(w)), np.zeros(len(w))
