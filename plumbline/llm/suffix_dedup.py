@@ -15,8 +15,8 @@ from plumbline.llm.suffixes import repeated_starts
 from plumbline.session import stage
 
 CHUNK = 1 << 20  # bytes that are anchored at once; longer texts overlap from chunk to chunk
-SHARD = 2 << 20  # bytes per suffix array
-CROWD = 2048  # different segments of one anchor that a shard takes
+SHARD = 1 << 20  # bytes per suffix array
+CROWD = 1024  # different segments of one anchor that a shard takes
 REMEMBERED = 200_000  # segments that a task has sent and does not send again
 POSITION = 24  # low bits of an order key that hold the position in a chunk
 

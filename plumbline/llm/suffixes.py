@@ -89,72 +89,31 @@ def _names(t: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.ndar
     return number[lms], int((~same).sum()) + 1
 
 
-def _sort_small(s: list[int], signs: int) -> list[int]:
-    """Suffix array of a short-lived list of numbers whose last one is the unique least: induced sorting, recursive."""
-    n = len(s)
-    small = bytearray(n)
-    small[n - 1] = 1
-    for i in range(n - 2, -1, -1):
-        small[i] = s[i] < s[i + 1] or (s[i] == s[i + 1] and small[i + 1])
-    ends = [0] * signs
-    for c in s:
-        ends[c] += 1
-    total = 0
-    starts = []
-    for c in range(signs):
-        starts.append(total)
-        total += ends[c]
-        ends[c] = total
-
-    def induced(lms: list[int]) -> list[int]:
-        sa = [-1] * n
-        tail = ends[:]
-        for i in reversed(lms):
-            tail[s[i]] -= 1
-            sa[tail[s[i]]] = i
-        head = starts[:]
-        for i in range(n):
-            j = sa[i] - 1
-            if j >= 0 and not small[j]:
-                c = s[j]
-                sa[head[c]] = j
-                head[c] += 1
-        tail = ends[:]
-        for i in range(n - 1, -1, -1):
-            j = sa[i] - 1
-            if j >= 0 and small[j]:
-                c = s[j]
-                tail[c] -= 1
-                sa[tail[c]] = j
-        return sa
-
-    lms = [i for i in range(1, n) if small[i] and not small[i - 1]]
-    if len(lms) < 2:
-        return induced(lms)
-    is_lms = bytearray(n)
-    for i in lms:
-        is_lms[i] = 1
-    following = dict(zip(lms, lms[1:] + [n - 1]))
-    name, last, number = {}, None, -1
-    for i in induced(lms):
-        if is_lms[i]:
-            if last is None or s[i:following[i] + 1] != s[last:following[last] + 1]:
-                number += 1
-            name[i] = number
-            last = i
-    if number + 1 == len(lms):
-        order = sorted(lms, key=name.__getitem__)
-    else:
-        order = [lms[i] for i in _sort_small([name[i] for i in lms], number + 1)]
-    return induced(order)
-
-
-def suffix_array(t: np.ndarray, signs: int) -> np.ndarray:
+def _sort_names(names: np.ndarray, deep: int | None) -> np.ndarray:
+    """The order of the suffixes of a text of names: substrings are sorted and named again at twice the length,
+    recursively, until all names differ (or, with ``deep``, until substrings of that many names are sorted)."""
+    n, span = len(names), 1
+    while True:
+        following = np.zeros(n, np.int64)
+        following[:n - span] = names[span:] + 1
+        key = names << np.int64(32) | following
+        order = np.argsort(key)
+        key = key[order]
+        fresh = np.concatenate([[False], key[1:] != key[:-1]])
+        number = np.cumsum(fresh)
+        names = np.empty(n, np.int64)
+        names[order] = number
+        span *= 2
+        if number[-1] == n - 1 or (deep is not None and span >= deep):
+            return order
+
+
+def suffix_array(t: np.ndarray, signs: int, deep: int | None = None) -> np.ndarray:
     """Positions of ``t`` (numbers below ``signs``, the last one a unique least) in the order of their suffixes.
 
     Suffixes are classified; substrings between leftmost-small positions are sorted by inducing, named, and the text of
-    names is sorted recursively; a last pass induces all suffixes from them. Buckets of the first level are array
-    operations, deeper levels are short lists.
+    names is sorted recursively; a last pass induces all suffixes from them. With ``deep``, suffixes that agree in so
+    many signs may stand in any order.
     """
     small = _types(t)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
@@ -166,7 +125,7 @@ def suffix_array(t: np.ndarray, signs: int) -> np.ndarray:
         return order
     names, number = _names(t, lms, ordered)
     if number < len(lms):
-        ordered = lms[np.array(_sort_small(names.tolist(), number), np.int64)]
+        ordered = lms[_sort_names(names, None if deep is None else deep // 2 + 1)]  # a substring has two signs at least
     return _induce(t, small, ordered, signs)
 
 
@@ -210,7 +169,7 @@ def repeated_starts(pieces: list[bytes], length: int) -> list[np.ndarray]:
     ends = first + size - 1
     t = raw.astype(np.int16) + 2
     t[ends] = 1
-    sa = suffix_array(np.append(t, np.int16(0)), 258)[1:]
+    sa = suffix_array(np.append(t, np.int16(0)), 258, int(size.max(initial=1)))[1:]
     room = np.repeat(ends, size) - np.arange(len(raw))
     lcp, before = permuted_lcp(raw, room, sa)
     deep = np.flatnonzero(lcp >= length)
