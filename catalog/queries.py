@@ -18,7 +18,7 @@ from plumbline.operators import (
     forecast as fc, insights, profile as pr, segments,
 )
 from plumbline.plans import analysis, measures as pm
-from plumbline.plans.model import Model, data_dictionary, discover, model_of, schema_summary, unify
+from plumbline.plans.model import Model, data_dictionary, discover, model_of, sample_rows, schema_summary, unify, unify_named
 from plumbline.session import scratch_path, stage
 from plumbline.sources import files, sinks, tables as tb
 
@@ -192,6 +192,26 @@ def unify_backwards(spark, sf):
     )
 
 
+@register(
+    "unify_same_key",
+    """select count(*) as row_count, count(n_name) as with_nation, cast(sum(n_regionkey) as bigint) as regions, cast(sum(c_nationkey) as bigint) as customer_nations
+       from lineitem left join supplier on l_suppkey = s_suppkey left join nation on s_nationkey = n_nationkey
+       left join orders on l_orderkey = o_orderkey left join customer on o_custkey = c_custkey""",
+)
+def unify_same_key(spark, sf):
+    """Two tables hold nationkey; only the supplier's leads to the nation. Names differ in the case of letters only, too."""
+    model = model_of((n, plain(spark, sf, n)) for n in ("lineitem", "orders", "customer", "supplier"))
+    model.add("nation", plain(spark, sf, "nation").withColumnRenamed("name", "Name"))
+    for edge in (("lineitem", "orderkey", "orders", "orderkey"), ("orders", "custkey", "customer", "custkey"), ("lineitem", "suppkey", "supplier", "suppkey"), ("supplier", "nationkey", "nation", "nationkey")):
+        model.relate(*edge)
+    unified, places = unify_named(model, "lineitem")
+    at = lambda t, c: F.col(places[t, c])
+    return unified.agg(
+        F.count(F.lit(1)).alias("row_count"), F.count(at("nation", "Name")).alias("with_nation"),
+        F.sum(at("nation", "regionkey")).cast("bigint").alias("regions"), F.sum(at("customer", "nationkey")).cast("bigint").alias("customer_nations"),
+    )
+
+
 @register(
     "key_normalization",
     """select count(*) as row_count, count(c_name) as matched, cast(sum(c_custkey) as bigint) as keys from (
@@ -321,11 +341,12 @@ def auto_ratios(spark, sf):
 def _breakdown_sql() -> str:
     dims = [("orders", "orderstatus"), ("orders", "orderpriority"), ("customer", "mktsegment"),
             ("nation", "nation_name")]
-    return q.union([
+    totals = q.union([
         f"select '{t}' as dimension_table, '{c.removeprefix(t + '_')}' as dimension, {c} as segment,"
         f" cast(sum(linenumber) as double) as total from {UNIFIED} where {c} is not null group by {c}"
         for t, c in dims
     ])
+    return f"select * from ({totals}) qualify row_number() over (partition by dimension_table, dimension order by total desc, segment) <= 20"
 
 
 @register("auto_breakdowns", _breakdown_sql())
@@ -626,7 +647,7 @@ def clean_impute_unknown(spark, sf):
 
 def _clean_sql() -> str:
     """The whole cleaning of the messy view; every decision that depends on the data is in the SQL."""
-    typed = f"""select {q.title(q.spaced('order_id'))} as order_id, cast(line_number as double) as line_number, d as ship_date,
+    typed = f"""select {q.spaced('order_id')} as order_id, cast(line_number as double) as line_number, d as ship_date,
         {q.no_token(q.title(q.spaced(q.no_token('status'))))} as status, {q.num(q.no_token('quantity'))} as quantity,
         {q.num(q.no_token('price'))} as price, {q.num(q.no_token('discount_rate'))} as discount_rate, tax,
         cast(regexp_extract(reading, '([0-9]+)/([0-9]+)', 1) as double) as systolic, cast(regexp_extract(reading, '([0-9]+)/([0-9]+)', 2) as double) as diastolic,
@@ -937,6 +958,13 @@ def page(spark, sf):
     return ex.page(table(spark, sf, "part"), 3, 15, "p_retailprice", False, ["p_partkey"])
 
 
+@register("page_deep", "select * from orders order by o_orderdate, o_orderkey limit 3 offset (select cast(count(*) // 2 as bigint) // 3 * 3 from orders)")
+def page_deep(spark, sf):
+    """A page of three rows in the middle of the table."""
+    orders = table(spark, sf, "orders")
+    return ex.page(orders, orders.count() // 2 // 3 + 1, 3, "o_orderdate", True, ["o_orderkey"])
+
+
 @register("page_info", "select count(*) as total_rows, cast(greatest(1, ceil(count(*) / 15)) as bigint) as total_pages from part")
 def page_info(spark, sf):
     return ex.page_info(table(spark, sf, "part"), 15)
@@ -1056,6 +1084,16 @@ def anomalies_query(spark, sf):
     return anomalies.top_anomalies(anomalies.detect_anomalies(table(spark, sf, "lineitem"), KEY, MEASURED), KEY, MEASURED)
 
 
+@register("anomalies_planted", "select count(*) as planted, count(*) as flagged from lineitem where l_orderkey % 40 = 0")
+def anomalies_planted(spark, sf):
+    """Rows put far out of the others, one in forty: all of them must be among the 3.5 % that are flagged."""
+    far = F.when(F.col("l_orderkey") % 40 == 0, 1000.0).otherwise(1.0)
+    moved = table(spark, sf, "lineitem").withColumns({c: F.col(c) * far for c in MEASURED})
+    detected = anomalies.detect_anomalies(moved, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], MEASURED)
+    planted = F.col("l_orderkey") % 40 == 0
+    return detected.agg(F.count_if(planted).alias("planted"), F.count_if(planted & F.col("is_anomaly")).alias("flagged"))
+
+
 @register("anomaly_summary", f"select cast(floor(count(*) * 0.035) as bigint) as total_anomalies, {q.rnd('floor(count(*) * 0.035) * 100 / count(*)', 2)} as anomaly_pct from lineitem")
 def anomaly_summary(spark, sf):
     return anomalies.anomaly_summary(anomalies.detect_anomalies(table(spark, sf, "lineitem"), KEY, MEASURED))
@@ -1146,7 +1184,7 @@ def _views(spark, sf, names=("region", "nation", "customer")):
 
 @register(
     "sql_query",
-    "select n_name, count(*) as customers from customer join nation on c_nationkey = n_nationkey group by n_name order by customers desc, n_name limit 5000",
+    "select n_name, count(*) as customers from customer join nation on c_nationkey = n_nationkey group by n_name order by customers desc, n_name",
 )
 def sql_query(spark, sf):
     _views(spark, sf)
@@ -1163,10 +1201,53 @@ def table_list(spark, sf):
     return tb.list_tables(spark, ["plumb_region", "plumb_nation", "plumb_customer"])
 
 
-@register("table_load", "select * from nation")
+@register("table_load", "select * from lineitem")
 def table_load(spark, sf):
-    _views(spark, sf)
-    return tb.load_table(spark, "plumb_nation")
+    _views(spark, sf, ("lineitem",))
+    return tb.load_table(spark, "plumb_lineitem")
+
+
+@register("sql_query_whole", "select o_orderkey, o_orderdate from orders")
+def sql_query_whole(spark, sf):
+    """Without a limit of its own a query returns all rows, whatever words its texts hold."""
+    _views(spark, sf, ("orders",))
+    return tb.run_sql(spark, "select o_orderkey, o_orderdate from plumb_orders where o_orderpriority <> 'no limit'")
+
+
+_LATIN = "select c_custkey, case when c_custkey = (select max(c_custkey) from customer) then 'Köln' else c_name end as city, c_mktsegment from customer"
+
+
+@register("source_latin", _LATIN)
+def source_latin(spark, sf):
+    """One byte in the last line decides the encoding, and all lines the delimiter."""
+    rows = table(spark, sf, "customer")
+    last = rows.agg(F.max("c_custkey")).first()[0]
+    city = F.when(F.col("c_custkey") == last, F.lit("Köln")).otherwise(F.col("c_name"))
+    path = scratch_path(spark, "latin")
+    out = rows.select("c_custkey", city.alias("city"), "c_mktsegment").orderBy("c_custkey")
+    out.write.option("header", True).option("sep", "|").option("encoding", "ISO-8859-1").csv(path)
+    return files.read_delimited(spark, path).withColumn("c_custkey", F.col("c_custkey").cast("bigint"))
+
+
+@register("source_overlong", "select c_custkey, c_name from customer where c_custkey % 5 not in (1, 2)")
+def source_overlong(spark, sf):
+    """Rows with more fields than the header are left out, also where the first or all further ones are empty."""
+    line = F.concat_ws(";", F.col("c_custkey").cast("string"), "c_name")
+    more = F.when(F.col("c_custkey") % 5 == 1, F.concat(line, F.lit(";;x"))).when(F.col("c_custkey") % 5 == 2, F.concat(line, F.lit(";"))).otherwise(line)
+    path = scratch_path(spark, "overlong")
+    header = spark.range(1).select(F.lit("c_custkey;c_name").alias("value"), F.lit(0).alias("p"))
+    lines = table(spark, sf, "customer").select(more.alias("value"), F.lit(1).alias("p"))
+    header.unionByName(lines).coalesce(1).sortWithinPartitions("p").select("value").write.text(path)
+    return files.read_delimited(spark, path, sep=";").withColumn("c_custkey", F.col("c_custkey").cast("bigint"))
+
+
+@register("sink_csv", "select * from part")
+def sink_csv(spark, sf):
+    """A table exported as CSV and read back with its types."""
+    df = table(spark, sf, "part")
+    path = scratch_path(spark, "csv")
+    sinks.write_csv(df, path)
+    return files.read_delimited(spark, path, sep=",", encoding="UTF-8").select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in df.schema.fields])
 
 
 @register(

@@ -22,8 +22,7 @@ CONTAMINATION = 0.035
 SEED = 42
 FEWEST_ROWS = 20
 TOP_ANOMALIES, SHOWN_FEATURES = 10, 5
-# Rows that the trees draw from, and draws per tree before the cut to TREE_ROWS.
-_POOL, _DRAWS = 200_000, 1_024
+_DRAWS = 1_024  # rows drawn per tree on average, of which the first TREE_ROWS are kept
 
 _TREE_SCHEMA = "tree int, feature array<int>, split array<double>, length array<double>"
 
@@ -31,16 +30,13 @@ _TREE_SCHEMA = "tree int, feature array<int>, split array<double>, length array<
 def tree_samples(df: DataFrame, key: list[str], features: list[str], rows: int) -> DataFrame:
     """``tree`` and features of up to 256 rows per tree.
 
-    Draws depend on the hashed key alone, so they repeat exactly and ignore partitioning. One hash
-    per row thins the table to a pool of about 200,000; only pool rows are tested against each tree.
+    Every row joins every tree with the same probability, 1,024 in the number of rows; of each tree's rows those with the
+    smallest hashes are kept. Draws depend on the hashed key alone, so they repeat exactly and ignore partitioning. The
+    trees of a row are picked from an array before any row is made, so rows without one cost a hash per tree.
     """
-    pool = df if rows <= _POOL else df.filter(F.pmod(F.xxhash64(*key, F.lit(SEED)), F.lit(rows)) < _POOL)
-    size = min(rows, _POOL)
-    drawn = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))).withColumn(
-        "draw", F.xxhash64(*key, "tree")
-    )
-    if size > _DRAWS:
-        drawn = drawn.filter(F.pmod("draw", F.lit(size)) < _DRAWS)
+    draws = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(*key, t).alias("draw")))
+    joins = F.filter(draws, lambda d: F.pmod(d["draw"], F.lit(rows)) < _DRAWS)
+    drawn = df.select(*dict.fromkeys([*key, *features]), F.inline(joins))
     first = Window.partitionBy("tree").orderBy("draw", *key)
     return drawn.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= TREE_ROWS).select(
         "tree", "place", *features
@@ -129,7 +125,7 @@ def detect_anomalies(df: DataFrame, key: list[str], features: list[str] | None =
     features = metric_columns(df, 4) if features is None else features
     if len(features) < 2:
         return None
-    complete = df.select(*[quoted(c) for c in key], *[number(df, c).alias(c) for c in features if c not in key])
+    complete = df.select(*[quoted(c) for c in key if c not in features], *[number(df, c).alias(c) for c in features])
     complete = spread(stage(complete.dropna(subset=features), "complete-rows"))
     rows = complete.count()
     if rows < FEWEST_ROWS:
@@ -150,11 +146,12 @@ def anomaly_summary(detected: DataFrame) -> DataFrame:
 
 
 def top_anomalies(detected: DataFrame, key: list[str], features: list[str], top: int = TOP_ANOMALIES) -> DataFrame:
-    """The flagged rows with the highest scores and their first features."""
+    """The flagged rows with the highest scores and their first features that are not part of the key."""
+    shown = [c for c in features if c not in key][:SHOWN_FEATURES]
     return (
         detected.filter("is_anomaly").orderBy(F.desc("anomaly_score"), *key).limit(top)
         .select(
             *key, F.round("anomaly_score", 3).alias("anomaly_score"),
-            *[F.round(quoted(c), 2).alias(c) for c in features[:SHOWN_FEATURES]],
+            *[F.round(quoted(c), 2).alias(c) for c in shown],
         )
     )

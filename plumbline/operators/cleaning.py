@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline.functions.text import collapse_spaces, title_case, to_number, to_timestamp, without_null_tokens
 from plumbline.operators.audit import count_outside, fences
@@ -21,7 +21,7 @@ from plumbline.session import stage
 # Decision thresholds, the composite pattern and the names of optional amounts.
 TYPE_SHARE = 0.70
 COMPOSITE_SHARE = 0.60
-COMPOSITE_PATTERN = r"([0-9]{2,3})\s*/\s*([0-9]{2,3})"
+COMPOSITE_PATTERN = r"^\s*([0-9]{2,3})\s*/\s*([0-9]{2,3})(?:\s*[A-Za-z]+)?\s*$"
 COMPOSITE_SUFFIXES = ("_Systolic", "_Diastolic")
 CATEGORY_SHARE = 0.5
 FENCE = 2.5
@@ -146,21 +146,33 @@ def normalize_text(c: Column, as_title: bool) -> Column:
 
 
 def clip_outliers(df: DataFrame, clips: dict[str, tuple[float, float]]) -> DataFrame:
-    """Values held within the given bounds; null stays null."""
-    return df.withColumns({c: _clip(number(df, c), *bounds) for c, bounds in clips.items()})
+    """Values held within the given bounds; null stays null. Whole bounds leave an integer column in its type."""
+    return df.withColumns({c: _clip(df, c, *bounds) for c, bounds in clips.items()})
 
 
-def _clip(c: Column, low: float, high: float) -> Column:
+def _keeps_type(df: DataFrame, c: str, *values: float) -> bool:
+    """Whether whole numbers are to be put into an integer column, whose large values a double would round."""
+    return isinstance(df.schema[c].dataType, T.IntegralType) and all(float(v).is_integer() and abs(v) < 2**63 for v in values)
+
+
+def _clip(df: DataFrame, name: str, low: float, high: float) -> Column:
     # least and greatest skip nulls, so a null must be kept apart.
+    if _keeps_type(df, name, low, high):
+        c = quoted(name).cast("bigint")
+        held = F.least(F.greatest(c, F.lit(int(low)).cast("bigint")), F.lit(int(high)).cast("bigint"))
+        return F.when(c.isNotNull(), held).cast(df.schema[name].dataType)
+    c = number(df, name)
     return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(high)))
 
 
 def fill_missing(df: DataFrame, fills: dict[str, float | str]) -> DataFrame:
-    """Missing values replaced; an integer column takes a fractional fill as a double column."""
+    """Missing values replaced; an integer column takes a fractional fill as a double column, a whole one in its type."""
     out = {}
     for c, value in fills.items():
         if isinstance(value, str):
             out[c] = F.coalesce(quoted(c), F.lit(value))
+        elif _keeps_type(df, c, value):
+            out[c] = F.coalesce(quoted(c), F.lit(int(value)).cast(df.schema[c].dataType))
         else:
             out[c] = F.coalesce(number(df, c), F.lit(float(value)))
     return df.withColumns(out)
@@ -365,7 +377,7 @@ def fit(df: DataFrame, config: CleaningConfig | None = None) -> tuple[CleaningPl
             plan.log.append(LogEntry("date", c, "text converted to timestamps", seen[c]["time"]))
     if config.standardize_text:
         rest = [c for c in plan.texts if c != plan.composite and c not in plan.numbers and c not in plan.dates]
-        plan.titles = category_like(values, rest, rows)
+        plan.titles = [c for c in category_like(values, rest, rows) if not is_key_name(c)]  # keys must go on matching other tables
         for c in rest:
             detail = "whitespace collapsed, title case" if c in plan.titles else "whitespace collapsed"
             plan.log.append(LogEntry("text", c, detail, None))

@@ -11,8 +11,6 @@ from plumbline.operators.columns import number, quoted
 from plumbline.operators.quantiles import exact_quantiles, grouped_median
 
 TOP_GROUPS, TREND_POINTS, BREAKDOWN, SCATTER_POINTS = 16, 15, 6, 300
-# Rows before a page from which on they are skipped by rank.
-DEEP_OFFSET = 100_000
 
 
 def _is_number(value) -> bool:
@@ -82,23 +80,23 @@ def sort_rows(df: DataFrame, by: str, ascending: bool = True, tie_break: list[st
 
 def page(
     df: DataFrame, number_: int = 1, size: int = 15, sort_by: str | None = None, ascending: bool = True,
-    tie_break: list[str] | None = None, deep: int = DEEP_OFFSET,
+    tie_break: list[str] | None = None,
 ) -> DataFrame:
     """One page of rows in a stated order; ties are broken by all columns unless ``tie_break`` is given.
 
-    Spark keeps offset + limit rows per task to find a page, so for a page far down the rows before it
-    are skipped by exact ranks first.
+    Spark keeps offset + limit rows per task to find a page, so the rows before it are skipped by exact
+    ranks first, as far as the sort columns are numbers or times.
     """
-    number_, size = max(1, number_), min(100, max(5, size))
+    if number_ < 1 or size < 1:
+        raise ValueError("page number and size start at 1")
     tie_break = list(df.columns) if tie_break is None else tie_break
     sort_by, offset = sort_by or tie_break[0], (number_ - 1) * size
-    if offset > deep:
-        keys = [(sort_by, ascending), *[(c, True) for c in tie_break if c != sort_by]]
-        df, offset = _skip(df, keys, offset, deep)
+    if offset:
+        df, offset = _skip(df, [(sort_by, ascending), *[(c, True) for c in tie_break if c != sort_by]], offset)
     return sort_rows(df, sort_by, ascending, tie_break).offset(offset).limit(size)
 
 
-def _skip(df: DataFrame, keys: list[tuple[str, bool]], offset: int, deep: int) -> tuple[DataFrame, int]:
+def _skip(df: DataFrame, keys: list[tuple[str, bool]], offset: int) -> tuple[DataFrame, int]:
     """``df`` without rows that precede the offset, and the offset that remains.
 
     Works through the sort columns while they are numbers or times: the value at the rank is found
@@ -107,7 +105,7 @@ def _skip(df: DataFrame, keys: list[tuple[str, bool]], offset: int, deep: int) -
     keep, tied = F.lit(False), F.lit(True)
     for i, (name, ascending) in enumerate(keys):
         key = _sort_number(df, name)
-        if offset <= deep or key is None:
+        if not offset or key is None:
             break
         key = key if ascending else -key
         rows = df.filter(tied)
@@ -135,7 +133,8 @@ def _sort_number(df: DataFrame, name: str) -> Column | None:
 
 def page_info(df: DataFrame, size: int = 15) -> DataFrame:
     """``total_rows, total_pages`` in one row."""
-    size = min(100, max(5, size))
+    if size < 1:
+        raise ValueError("page size starts at 1")
     return df.agg(F.count(F.lit(1)).alias("total_rows")).select(
         "total_rows", F.greatest(F.lit(1), F.ceil(F.col("total_rows") / size)).cast("bigint").alias("total_pages")
     )

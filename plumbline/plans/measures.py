@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.functions.measures import average, divide, row_count, total
 from plumbline.operators.columns import dimension_columns, numeric_columns, per_column, quoted, resolve, text_columns
-from plumbline.plans.model import Model, unify
+from plumbline.plans.model import Model, unify, unify_named
 
-# Name parts that exclude a column from the metrics or mark money, profit, sales and cost.
-NOT_A_METRIC = r"_id|id$|code|key|index"
+# Name parts that exclude a column from the metrics ("id" as a word of its own: paid is a metric), and
+# name parts that mark money, profit, sales and cost.
+NOT_A_METRIC, NOT_A_DIMENSION = r"(^|_)id($|_)|code|key|index", r"(^|_)id($|_)|code"
 MONEY = ("sales", "revenue", "profit", "price", "amount", "cost")
 PROFIT, SALES, COST = ("profit", "margin"), ("sales", "revenue"), ("cost", "expense", "spend")
 TOP_GROUPS, METRICS, DIMENSIONS_PER_TABLE = 20, 4, 2
@@ -30,9 +31,9 @@ def summarize(
     without a value are left out; measures are rounded to 2. Filters belong into the measures
     (``calculate``), and every measure sees its group's rows only.
     """
-    unified = unify(model, table)
+    unified, places = unify_named(model, table)
     pairs = [b if isinstance(b, tuple) else (None, b) for b in by]
-    names = [resolve(unified, column, owner) for owner, column in pairs]
+    names = [places.get((owner, column)) or resolve(unified, column, owner) for owner, column in pairs]
     measures = measures or {"Count": row_count()}
     grouped = (
         unified.dropna(subset=names)
@@ -99,22 +100,23 @@ def auto_measures(model: Model, fact: str | None = None) -> DataFrame:
     return per_column(row, fields, ["id", "name", "category", "value", "formatted"])
 
 
-def auto_breakdowns(model: Model, fact: str | None = None) -> DataFrame:
+def auto_breakdowns(model: Model, fact: str | None = None, top: int | None = TOP_GROUPS) -> DataFrame:
     """The first metric of the fact table by up to two dimensions of every linked table.
 
-    ``dimension_table, dimension, segment, total``. All dimensions share one pass over one unified
+    ``dimension_table, dimension, segment, total``, each dimension's ``top`` largest totals first. A dimension
+    has 2 to 30 different values; a table without one adds nothing. All dimensions share one pass over one unified
     view: a row contributes to each of its segments and is combined on the map side.
     """
     fact = fact or model.fact_table()
     metric = metric_names(model.tables[fact])[0]
-    unified = unify(model, fact)
+    unified, places = unify_named(model, fact)
     dimensions: list[tuple[str, str]] = []
     for r in model.relationships:
         table = r.to_table if r.from_table == fact else r.from_table
         df = model.tables[table]
-        texts = [c for c in text_columns(df) if not re.search(r"_id|id$|code", c.lower())]
+        texts = [c for c in text_columns(df) if not re.search(NOT_A_DIMENSION, c.lower())]
         chosen = dimension_columns(df.select(*[quoted(c) for c in texts]), 2, 30) if texts else []
-        for c in (chosen or text_columns(df)[:1])[:DIMENSIONS_PER_TABLE]:
+        for c in chosen[:DIMENSIONS_PER_TABLE]:
             if (table, c) not in dimensions:
                 dimensions.append((table, c))
     entries = []
@@ -122,7 +124,7 @@ def auto_breakdowns(model: Model, fact: str | None = None) -> DataFrame:
         entries.append(
             F.struct(
                 F.lit(t).alias("dimension_table"), F.lit(c).alias("dimension"),
-                quoted(resolve(unified, c, t)).cast("string").alias("segment"),
+                quoted(places[t, c]).cast("string").alias("segment"),
             )
         )
     if not entries:
@@ -130,4 +132,9 @@ def auto_breakdowns(model: Model, fact: str | None = None) -> DataFrame:
             [], "dimension_table string, dimension string, segment string, total double"
         )
     long = unified.select(quoted(metric).alias("__m"), F.inline(F.array(*entries))).filter(F.col("segment").isNotNull())
-    return long.groupBy("dimension_table", "dimension", "segment").agg(F.round(total(F.col("__m")), 2).alias("total"))
+    totals = long.groupBy("dimension_table", "dimension", "segment").agg(F.round(total(F.col("__m")), 2).alias("total"))
+    order = [F.desc_nulls_last("total"), F.col("segment")]
+    if top:
+        rank = F.row_number().over(Window.partitionBy("dimension_table", "dimension").orderBy(*order))
+        totals = totals.withColumn("__rank", rank).filter(F.col("__rank") <= top).drop("__rank")
+    return totals.orderBy("dimension_table", "dimension", *order)

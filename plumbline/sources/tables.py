@@ -5,22 +5,19 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+from py4j.java_gateway import is_instance_of
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# Row limits, and the statements that a reader may not run.
-LOAD_LIMIT, FEWEST_LOADED, MOST_LOADED = 10_000, 100, 50_000
-QUERY_LIMIT = 5_000
-FORBIDDEN = (
-    "DROP", "DELETE", "TRUNCATE", "UPDATE", "INSERT", "ALTER", "GRANT", "REVOKE",
-    "CREATE", "EXECUTE", "COPY", "CALL", "VACUUM", "REINDEX", "COMMENT", "SECURITY",
-    "LOCK", "SET", "RESET", "DO", "DISCARD",
-)
+_PLANS = "org.apache.spark.sql.catalyst.plans.logical."
+# Kinds of plan nodes that change something or run a script.
+_ACTS = tuple(_PLANS + kind for kind in ("Command", "ParsedStatement", "CompoundBody"))
 
 
-def load_table(spark: SparkSession, name: str, limit: int | None = LOAD_LIMIT, url: str | None = None, **options: str) -> DataFrame:
-    """A registered table, or with ``url`` a database table over JDBC, up to ``limit`` rows.
+def load_table(spark: SparkSession, name: str, limit: int | None = None, url: str | None = None, **options: str) -> DataFrame:
+    """A registered table, or with ``url`` a database table over JDBC; all rows unless a ``limit`` is given.
 
-    ``limit=None`` reads the whole table; JDBC partitioning options pass through.
+    JDBC partitioning options pass through.
     """
     if not re.fullmatch(r"[A-Za-z0-9_]+", name):
         raise ValueError(f"table name {name!r}")
@@ -31,11 +28,6 @@ def load_table(spark: SparkSession, name: str, limit: int | None = LOAD_LIMIT, u
     return df if limit is None else df.limit(limit)
 
 
-def clamp_limit(limit: int) -> int:
-    """The limit that an interactive load accepts."""
-    return max(FEWEST_LOADED, min(MOST_LOADED, limit))
-
-
 def list_tables(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
     """Table names with exact row counts, sorted by name."""
     names = sorted(t.name for t in spark.catalog.listTables()) if names is None else sorted(names)
@@ -45,26 +37,28 @@ def list_tables(spark: SparkSession, names: list[str] | None = None) -> DataFram
     return reduce(DataFrame.unionByName, counts).orderBy("name")
 
 
-def check_read_only(query: str) -> str | None:
-    """Why a statement is not a single read-only query, or None if it is one."""
-    if not query or not query.strip():
-        return "Query cannot be empty."
-    bare = re.sub(r"--[^\n]*", "", query)
-    bare = re.sub(r"/\*.*?\*/", "", bare, flags=re.DOTALL).strip()
-    if not re.match(r"(SELECT|WITH)\b", bare, re.IGNORECASE):
-        return "Query must start with SELECT or WITH."
-    bare = re.sub(r"'(?:''|[^'])*'", "''", bare)
-    if ";" in bare.rstrip("; \n\t"):
-        return "Only one statement is permitted."
-    words = set(re.findall(r"[A-Z_0-9]+", bare.upper()))
-    forbidden = [w for w in FORBIDDEN if w in words]
-    return f"Statement {forbidden[0]} is not permitted." if forbidden else None
+def check_read_only(spark: SparkSession, query: str) -> str | None:
+    """Why a text is not one query that only reads, or None if it is: Spark's own parser decides."""
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query or "")
+    except ParseException as e:
+        return f"not one statement that can be parsed: {e.getCondition()}"
+    gateway, todo = spark.sparkContext._gateway, [plan]
+    while todo:
+        node = todo.pop()
+        if any(is_instance_of(gateway, node, kind) for kind in _ACTS):
+            return f"{node.nodeName()} is not a query"
+        children = node.children().iterator()
+        while children.hasNext():
+            todo.append(children.next())
+    return None
 
 
-def run_sql(spark: SparkSession, query: str, limit: int = QUERY_LIMIT) -> DataFrame:
-    """A read-only query over the registered tables; limited unless it says LIMIT itself."""
-    problem = check_read_only(query)
+def run_sql(spark: SparkSession, query: str, limit: int | None = None) -> DataFrame:
+    """A read-only query over the registered tables; all rows unless a ``limit`` is given."""
+    query = query.strip().rstrip(";")
+    problem = check_read_only(spark, query)
     if problem:
         raise ValueError(problem)
-    df = spark.sql(query.strip().rstrip(";"))
-    return df if re.search(r"\bLIMIT\b", query, re.IGNORECASE) else df.limit(limit)
+    df = spark.sql(query)
+    return df if limit is None else df.limit(limit)

@@ -20,10 +20,20 @@ def test_encoding_and_delimiter_rules(spark, tmp_path):
     path = tmp_path / "latin.tsv"
     path.write_bytes("id\tcity\n1\tKöln\n".encode("latin1"))
     assert files.read_delimited(spark, str(path)).first()["city"] == "Köln"
-    assert files.sniff_delimiter(["a;b;c", "1;2;3", "4;5;6;7"]) == ";"
-    assert files.sniff_delimiter(["a;b;c", "1;2", "4;5;6;7"]) == ","  # three different counts
-    assert files.sniff_delimiter(["a,b;c", "d,e;f"]) == "," and files.sniff_delimiter(["one", "two"]) == ","
-    assert files.sniff_delimiter(["a|b|c", "", "d|e|f"]) == "|"
+    path = tmp_path / "late.csv"
+    path.write_bytes(("id;city\n" + "".join(f"{i};x\n" for i in range(100)) + "101;Köln\n").encode("latin1"))
+    assert "Köln" in {r["city"] for r in files.read_delimited(spark, str(path)).collect()}
+    found = lambda *lines: files.describe_lines(spark.createDataFrame([(x,) for x in lines], "value string"), lines[0])[0]
+    assert found("a;b;c", "1;2;3", "4;5;6;7") == ";" and found("a;b;c", "1;2", "4;5;6;7") == ","  # most lines disagree
+    assert found("a,b;c", "d,e;f") == "," and found("one", "two") == "," and found("a|b|c", "", "d|e|f") == "|"
+    assert found('a;b', '"x,y";1', '"z,w";2') == ";"
+
+
+def test_over_long_rows(spark, tmp_path):
+    path = tmp_path / "long.csv"
+    path.write_text('a;b;c\n1;2;3\n2;b;3;;x\n3;b;3;\n4;"x;y";z\n5;b\n')
+    assert {r["a"] for r in files.read_delimited(spark, str(path), sep=";").collect()} == {"1", "4", "5"}
+    assert files.read_delimited(spark, str(path), sep=";").count() == 3
 
 
 def test_json_both_forms(spark, tmp_path):
@@ -43,17 +53,21 @@ def test_ingest(spark, tmp_path):
 
 
 def test_read_only_guard(spark):
-    assert tables.check_read_only("select 1 -- drop") is None
-    assert tables.check_read_only("with a as (select 'drop; table' as x) select * from a;") is None
-    for bad in ("", "drop table x", "select 1; select 2", "select * from x where exists (delete from y)", "selection"):
-        assert tables.check_read_only(bad)
+    assert tables.check_read_only(spark, "select 1 -- drop") is None
+    assert tables.check_read_only(spark, "with a as (select 'drop; table' as comment) select * from a") is None
     spark.range(6000).createOrReplaceTempView("guard_rows")
-    assert tables.run_sql(spark, "select * from guard_rows").count() == 5000
-    assert tables.run_sql(spark, "select * from guard_rows limit 7").count() == 7
+    for bad in (
+        "", "drop table x", "select 1; select 2", "insert into x select 1", "selection", "create table y as select 1", "set a = b",
+        "from guard_rows insert into x select id", "begin select 1; end", "cache table guard_rows", "show tables",
+    ):
+        assert tables.check_read_only(spark, bad), bad
+        with pytest.raises(ValueError):
+            tables.run_sql(spark, bad)
+    assert tables.run_sql(spark, "select * from guard_rows where 'no limit' is not null;").count() == 6000
+    assert tables.run_sql(spark, "select * from guard_rows", 7).count() == 7
     with pytest.raises(ValueError):
         tables.load_table(spark, "guard_rows; drop")
-    assert tables.load_table(spark, "guard_rows", 10).count() == 10
-    assert tables.clamp_limit(5) == 100 and tables.clamp_limit(10**6) == 50_000
+    assert tables.load_table(spark, "guard_rows").count() == 6000 and tables.load_table(spark, "guard_rows", 10).count() == 10
 
 
 def test_run_log(spark, tmp_path):
