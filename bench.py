@@ -15,7 +15,7 @@ HEADLINE = [
     "summarize_region", "calculate_filter", "fk_discovery", "auto_measures", "auto_breakdowns", "unify_backwards",
     "schema_summary", "audit_columns", "clean_deduplicate", "clean_winsorize", "clean_all_steps", "numeric_profile",
     "histogram", "frequencies", "pearson", "spearman", "groupby_insights", "grouped_metric_median", "page", "search_text",
-    "trend_last15", "forecast14", "run_log_latest", "anomalies", "kmeans_silhouettes", "key_drivers",
+    "trend_last15", "forecast14", "run_log_latest", "source_delimited", "anomalies", "kmeans_silhouettes", "key_drivers",
 ]
 
 

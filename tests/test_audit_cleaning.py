@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from plumbline.operators import cleaning as cl
 from plumbline.operators.audit import alerts, audit, compare_audits, tukey_outliers
 from plumbline.operators.distribution import read_values
-from plumbline.streaming import clean_stream
 
 SCHEMA = "order_id string, city string, price string, when string, reading string, qty int, refund_amount double, note string"
 
