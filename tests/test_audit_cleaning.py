@@ -122,7 +122,7 @@ def test_plan_runs_on_a_stream(messy, spark, tmp_path):
     cleaned, plan = cl.clean(messy, cl.CleaningConfig(remove_duplicates=False))
     path = str(tmp_path / "in")
     messy.write.parquet(path)
-    stream = clean_stream(spark.readStream.schema(messy.schema).parquet(path), plan)
+    stream = plan.apply(spark.readStream.schema(messy.schema).parquet(path))
     query = stream.writeStream.format("memory").queryName("cleaned_stream").trigger(availableNow=True).start()
     query.awaitTermination(120)
     got = spark.table("cleaned_stream").collect()
