@@ -23,11 +23,10 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that five documents share stay in one of them; a document that held nothing else goes."""
+    """Lines that five documents share stay in one of them; every document stays, also one that held nothing else."""
     kept = drop_repeated_lines(docs.select(*COLUMNS))
-    empty = F.length(F.trim(F.coalesce(F.col("text"), F.lit("")))) == 0
-    return (kept.where(~(empty & (F.col("n_dropped") > 0)))
-            .withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS))
+    shorter = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", shorter).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

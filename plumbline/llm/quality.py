@@ -194,7 +194,7 @@ def _logit(p: Column) -> Column:
 
 def classify(
     docs: DataFrame, model: TextModel, host: Column | None = None, path: Column | None = None, text: str = "text", trust: float = 0.5,
-    least_quality: float = 0.5, most_toxic: float = 0.25,
+    least_quality: float = 0.5, most_toxic: float = 0.4,
 ) -> DataFrame:
     """``docs`` with ``p_quality``, ``p_toxic`` (posteriors), ``site_quality``, ``site_toxic`` and ``keep``.
 
