@@ -1195,6 +1195,42 @@ def sql_query(spark, sf):
     )
 
 
+@register("model_drop", "select 'customer' as from_table, 'nationkey' as from_col, 'nation' as to_table, 'nationkey' as to_col union all select 'nation', 'regionkey', 'region', 'regionkey'")
+def model_drop(spark, sf):
+    """A table and an edge removed from a model take only their own relationships with them."""
+    model = model_of((n, plain(spark, sf, n)) for n in ("orders", "customer", "nation", "region", "supplier"))
+    for edge in (("orders", "custkey", "customer", "custkey"), ("customer", "nationkey", "nation", "nationkey"),
+                 ("supplier", "nationkey", "nation", "nationkey"), ("nation", "regionkey", "region", "regionkey")):
+        model.relate(*edge)
+    model.drop("orders").unrelate("supplier", "nationkey", "nation", "nationkey")
+    return model.relationships_frame(spark).select("from_table", "from_col", "to_table", "to_col")
+
+
+@register("schema_samples", q.union([
+    f"select '{t}' as \"table\", cast(row_number() over (order by {', '.join(COLUMNS[t])}) as integer) as row, {pairs} as data from {t} qualify row <= 3"
+    for t, pairs in (
+        ("region", """'{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}'"""),
+        ("nation", """'{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}'"""),
+    )]))
+def schema_samples(spark, sf):
+    return sample_rows(model_of((n, table(spark, sf, n)) for n in ("region", "nation")))
+
+
+@register("run_log_clear", "select user_id, count(*) as runs from events where user_id <> (select min(user_id) from events) group by user_id")
+def run_log_clear(spark, sf):
+    """Runs appended to a log, those of one user cleared, the rest read back."""
+    events = table(spark, sf, "events")
+    path = scratch_path(spark, "log")
+    runs = events.select(
+        F.col("event_id").cast("string").alias("run_id"), "user_id", F.col("event_type").alias("dataset"), F.lit(1).cast("bigint").alias("records"),
+        F.col("value").alias("health_score"), F.lit("Analyzed Dataset").alias("action"), F.col("ts").alias("created_at"),
+    )
+    sinks.append_runs(runs.repartition("user_id"), path)
+    first = events.agg(F.min("user_id")).first()[0]
+    left = sinks.clear_history(spark, path, first, scratch_path(spark, "log"))
+    return left.groupBy(F.col("user_id").cast("bigint").alias("user_id")).agg(F.count(F.lit(1)).alias("runs"))
+
+
 @register("table_list", q.union([f"select 'plumb_{n}' as name, count(*) as rows from {n}" for n in ("customer", "nation", "region")]))
 def table_list(spark, sf):
     _views(spark, sf)

@@ -10,16 +10,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbline.session import stage
 
-_BUCKETS = 1000
-_GRID = [i / _BUCKETS for i in range(1, _BUCKETS)]
+# Distinct values per bucket, and the most boundaries that are sketched.
+_BUCKET_VALUES, _BUCKETS = 200_000, 20_000
 
 
 def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     """The average rank of every distinct value: ``column, value, rank``.
 
-    Equal values combine first. The distinct values are spread over buckets by sketched boundaries;
-    ranks run inside a bucket, after the exact number of rows in the buckets before it (a running sum
-    over at most ``_BUCKETS`` rows per column).
+    Equal values combine first. The distinct values are spread over buckets by sketched boundaries, as many
+    as there are values for; ranks run inside a bucket, after the exact number of rows in the buckets before it (a
+    running sum over at most ``_BUCKETS`` rows per column).
     """
     entries = [F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns]
     counts = (
@@ -29,10 +29,12 @@ def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
     )
     counts = stage(counts, "value-counts")
-    edges = {
-        r["column"]: sorted(set(r["edges"]))
-        for r in counts.groupBy("column").agg(F.percentile_approx("value", _GRID, 2000).alias("edges")).collect()
-    }
+    sizes = {r["column"]: r["count"] for r in counts.groupBy("column").count().collect()}
+    buckets = min(_BUCKETS, math.ceil(max(sizes.values(), default=0) / _BUCKET_VALUES))
+    edges = {c: [] for c in sizes}
+    if buckets > 1:
+        grid = F.percentile_approx("value", [i / buckets for i in range(1, buckets)], max(2000, 4 * buckets))
+        edges = {r["column"]: sorted(set(r["edges"])) for r in counts.groupBy("column").agg(grid.alias("edges")).collect()}
     if not edges:
         return counts.select("column", "value", F.lit(0.0).alias("rank"))
     bucketed = _bucketed(counts, edges)
@@ -50,6 +52,9 @@ def _bucketed(counts: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
     """``counts`` with a ``bucket`` column: the number of its column's boundaries at or below a value."""
     parts = []
     for column, bounds in edges.items():
+        if not bounds:
+            parts.append(counts.filter(F.col("column") == column).withColumn("bucket", F.lit(0.0)))
+            continue
         splitter = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="value", outputCol="bucket")
         parts.append(splitter.transform(counts.filter(F.col("column") == column)))
     return reduce(DataFrame.unionByName, parts)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F, types as T
 
 from plumbline.operators.cleaning import clean
 from plumbline.operators.columns import type_name
@@ -33,28 +33,29 @@ def cleaned_or_unified(cleaned: DataFrame | None, raw: DataFrame | None, model:
     return clean(unify(model))[0]
 
 
+def _write_counted(df: DataFrame, path: str) -> tuple[T.StructType, int]:
+    seen = Observation()
+    write_csv(df.observe(seen, F.count(F.lit(1)).alias("rows")), path)
+    return df.schema, seen.get["rows"]
+
+
 def export_model(model: Model, path: str, name: str = "model") -> DataFrame:
     """Every table cleaned, the unified table cleaned, and a manifest of all of them.
 
     Layout: ``tables/cleaned_<name>``, ``unified_model``, ``manifest``. Returns the manifest: one row
-    per table with its row count, columns and types, and the relationships. Row counts are read back
-    from the written files, so no table is computed twice.
+    per table with its row count, columns and types, and the relationships. Rows are counted while they are
+    written.
     """
     spark = next(iter(model.tables.values())).sparkSession
     root = path.rstrip("/")
     written = {}
     for table, df in model.tables.items():
-        cleaned, _ = clean(df)
-        write_csv(cleaned, f"{root}/tables/cleaned_{table}")
-        written[table] = (cleaned.schema, f"{root}/tables/cleaned_{table}")
-    unified, _ = clean(unify(model))
-    write_csv(unified, f"{root}/unified_model")
-    written["unified_model"] = (unified.schema, f"{root}/unified_model")
+        written[table] = _write_counted(clean(df)[0], f"{root}/tables/cleaned_{table}")
+    written["unified_model"] = _write_counted(clean(unify(model))[0], f"{root}/unified_model")
 
     edges = [f"{r.from_table}.{r.from_col} -> {r.to_table}.{r.to_col} ({r.cardinality})" for r in model.relationships]
     rows = []
-    for table, (schema, where) in written.items():
-        count = spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(schema).csv(where).count()
+    for table, (schema, count) in written.items():
         types = {f.name: type_name(f.dataType) for f in schema}
         rows.append((name, table, count, [f.name for f in schema], types, edges))
     manifest = spark.createDataFrame(
