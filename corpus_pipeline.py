@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.llm import quality
+from plumbline.llm.common import small_batches
 from plumbline.llm.decontaminate import find_overlaps
 from plumbline.llm.line_dedup import drop_repeated_lines
 from plumbline.llm.packing import pack_documents
@@ -17,6 +18,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of low quality and toxic ones go."""
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.classify(docs, model).where("keep").select(*COLUMNS)

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from plumbline.session import stage
 
@@ -48,6 +48,11 @@ def map_rows(df: DataFrame, add: str, compute: Callable[[pa.RecordBatch], dict],
     return df.mapInArrow(run, T.StructType(kept + new.fields))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows per Arrow batch, for tables whose rows hold whole texts: both sides of the transfer hold a batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     """The texts of a column; null counts as empty."""
     return [t or "" for t in batch.column(column).to_pylist()]

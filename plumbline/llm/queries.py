@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.llm import html_crf, quality
-from plumbline.llm.common import map_rows
+from plumbline.llm.common import map_rows, small_batches
 from plumbline.llm.decontaminate import find_overlaps
 from plumbline.llm.line_dedup import drop_repeated_lines
 from plumbline.llm.packing import pack_documents
@@ -37,6 +37,7 @@ def register(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet").select(*columns)
 
 

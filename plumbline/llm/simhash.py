@@ -194,6 +194,146 @@ WIDE, WIDE_BANDS = 256, tuple((23 * i, 0, 1) for i in range(10))
 WIDE_MOST = 60
 
 
+TILE = 20_000  # homes or visitors of an anchor that meet in one tile
+STEP = 128  # homes that are compared with all visitors of a tile at once
+EDGES = 2_000_000  # links of a tile that are held before they are thinned
+FORESTS = 3  # edge-disjoint forests that are kept of a tile's links
+
+
+def shortest_forest(a: np.ndarray, b: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of the edges of a minimum spanning forest over ``n`` nodes: every component takes its shortest edge out, again and again."""
+    key = length.astype(np.int64) << 40 | np.arange(len(a))
+    none, part, chosen = np.iinfo(np.int64).max, np.arange(n), []
+    while True:
+        x, y = part[a], part[b]
+        out = np.flatnonzero(x != y)
+        if not len(out):
+            return np.unique(np.concatenate(chosen)) if chosen else out
+        best = np.full(n, none)
+        np.minimum.at(best, x[out], key[out])
+        np.minimum.at(best, y[out], key[out])
+        pick = np.unique(best[best < none] & ((1 << 40) - 1))
+        chosen.append(pick)
+        while True:
+            x, y = part[a[pick]], part[b[pick]]
+            low = np.minimum(x, y)
+            if np.array_equal(x, y):
+                break
+            root = np.arange(n)
+            np.minimum.at(root, x, low)
+            np.minimum.at(root, y, low)
+            part = root[part]
+
+
+def tile_edges(nodes: np.ndarray, words: np.ndarray, home: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shortest links that connect what homes and visitors of one tile within ``most`` bits connect, three times over.
+
+    Bits only estimate similarity: where the exact comparison rejects an edge of one forest, another may hold.
+    """
+    ids, place = np.unique(nodes, return_inverse=True)
+    h, v = np.flatnonzero(home), np.flatnonzero(~home)
+    held = [np.zeros((0, 3), np.int64)]
+
+    def thinned() -> np.ndarray:
+        rest, kept = np.concatenate(held), []
+        for _ in range(FORESTS):
+            pick = shortest_forest(rest[:, 0], rest[:, 1], rest[:, 2], len(ids))
+            kept.append(rest[pick])
+            rest = np.delete(rest, pick, axis=0)
+        return np.concatenate(kept)
+
+    for begin in range(0, len(h), STEP):
+        rows = h[begin:begin + STEP]
+        distance = np.zeros((len(rows), len(v)), np.uint16)
+        for w in range(words.shape[1]):
+            distance += np.bitwise_count(words[rows, w, None] ^ words[None, v, w])
+        i, j = np.nonzero(distance <= most)
+        x, y = place[rows[i]], place[v[j]]
+        other = x != y
+        held.append(np.column_stack([x, y, distance[i, j]])[other].astype(np.int64))
+        if sum(map(len, held)) > EDGES:
+            held = [thinned()]
+    e = thinned()
+    return ids[e[:, 0]], ids[e[:, 1]]
+
+
+def near_edges(classes: DataFrame, node: str, width: int, bands: tuple[Band, ...], most: int) -> DataFrame:
+    """Edges ``(a, b)`` that connect the fingerprints which meet at an anchor within ``most`` bits.
+
+    As ``links``, but a group of mutual near-copies yields the shortest edges that connect it instead of all its pairs. The
+    homes and visitors of a crowded anchor are dealt out to tiles of bounded size, every home tile against every
+    visitor tile; the number of anchors is fixed by the code, so the table of their tiles has a bounded size.
+    """
+    names = word_names(width)
+    number = len(bands) << 12
+
+    def words_of(batch: pa.RecordBatch) -> np.ndarray:
+        return np.stack([batch.column(n).to_numpy(zero_copy_only=False).view(np.uint64) for n in names], axis=1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, seen = golay_tables(), np.zeros((2, number), np.int64)
+        for batch in batches:
+            for i, band in enumerate(bands):
+                for home in (0, 1):
+                    seen[home] += np.bincount(places(words_of(batch), i, band, tables, bool(home))[1], minlength=number)
+        used = np.flatnonzero(seen[0])
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(seen[1][used]), pa.array(seen[0][used])], names=["anchor", "homes", "visitors"])
+
+    counts = classes.mapInArrow(count, "anchor long, homes long, visitors long").groupBy("anchor").agg(F.sum("homes").alias("homes"), F.sum("visitors").alias("visitors"))
+    tiles = np.ones((2, number), np.int64)
+    for r in counts.where((F.col("homes") > TILE) | (F.col("visitors") > TILE)).collect():
+        tiles[1, r.anchor], tiles[0, r.anchor] = -(-r.homes // TILE), -(-r.visitors // TILE)
+    sent = classes.sparkSession.sparkContext.broadcast(tiles)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, parts = golay_tables(), sent.value
+        for whole in batches:
+            for begin in range(0, whole.num_rows, ROWS // 10):
+                batch = whole.slice(begin, ROWS // 10)
+                words, ids = words_of(batch), batch.column(node).to_numpy()
+                for i, band in enumerate(bands):
+                    for home in (True, False):
+                        row, anchor = places(words, i, band, tables, home)
+                        own, other = parts[int(home), anchor], parts[int(not home), anchor]
+                        part = np.abs(ids[row]) % own
+                        row, anchor, part, own = (np.repeat(x, other) for x in (row, anchor, part, own))
+                        turn = np.arange(len(row)) - np.repeat(np.cumsum(other) - other, other)
+                        # Tile numbers: home part times visitor parts plus visitor part.
+                        tile = part * np.repeat(other, other) + turn if home else turn * own + part
+                        index = pa.array(row)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(anchor), pa.array(tile), pa.array(np.full(len(row), home))] + [batch.column(n).take(index) for n in [node, *names]],
+                            names=["anchor", "tile", "home", node, *names])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def edges(rows: pa.Table) -> pa.RecordBatch:
+            columns = [rows.column(n).to_numpy() for n in (node, "home", *names)]
+            a, b = tile_edges(columns[0], np.stack(columns[2:], axis=1).view(np.uint64), columns[1].astype(bool), most)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        last = None
+        for batch in batches:
+            anchor, tile = batch.column("anchor").to_numpy(), batch.column("tile").to_numpy()
+            cuts = np.flatnonzero((anchor[1:] != anchor[:-1]) | (tile[1:] != tile[:-1])) + 1
+            for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                if begin == end:
+                    continue
+                key = (anchor[begin], tile[begin])
+                if last is not None and key != last:
+                    yield edges(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(begin, end - begin))
+                last = key
+        if held:
+            yield edges(pa.Table.from_batches(held))
+
+    shape = ", ".join(["anchor long", "tile long", "home boolean", f"{node} long", *[f"{n} long" for n in names]])
+    met = classes.mapInArrow(deal, shape).repartition("anchor", "tile").sortWithinPartitions("anchor", "tile")
+    return met.mapInArrow(compare, "a long, b long")
+
+
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     """Distinct 32-bit hashes of the word shingles in order."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -221,7 +361,8 @@ def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text"
 
     Groups are components of pairs whose sets of five-word shingles have a Jaccard similarity of at least ``least``.
     Candidates meet at Golay anchors of ten bands of a 256-bit SimHash and differ in at most 60 bits (such pairs of
-    similarity 0.8 differ in 39 on average, with a deviation of 6); their sets are then compared exactly. A pair of
+    similarity 0.8 differ in 39 on average, with a deviation of 6); a crowd of near-copies is held together by its shortest
+    edges (three disjoint forests per anchor), not by all pairs. The sets of both ends of an edge are then compared exactly. A lone pair of
     similarity 0.8 is missed by all ten bands about once in thirty; more similar pairs more rarely.
 
     Equal fingerprints are one class; only classes in a candidate pair have their sets built. Defined cases: null and
@@ -233,7 +374,7 @@ def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text"
     rows = docs.select(F.col(id).alias("__id"), text_hash.alias("__text"), F.col(text).alias("__words"))
     rows = stage(fingerprints(rows, "__words", shingle, WIDE).withColumn("node", F.xxhash64(*names)), "fingerprints")
     classes = stage(rows.groupBy("node", *names).agg(F.min(F.struct("__id", "__text")).alias("of")), "classes")
-    pairs = stage(links(classes, "node", WIDE, WIDE_BANDS, WIDE_MOST).distinct(), "candidates")
+    pairs = stage(near_edges(classes, "node", WIDE, WIDE_BANDS, WIDE_MOST).distinct(), "candidates")
 
     # One text of each class that is in a pair, and its set.
     wanted = (pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node")

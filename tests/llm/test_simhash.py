@@ -116,3 +116,26 @@ def test_drop_near_duplicates(spark, documents):
     want = {i for i in ids if root[i] == i}
     assert {i for i, _ in kept if i is not None} == want and (None, "only here without id") in kept and len(kept) == len(want) + 1
     assert drop_near_duplicates(documents([])).collect() == []
+
+
+def test_shortest_edges_connect_what_all_links_connect(spark, monkeypatch):
+    import plumbline.llm.simhash as sh
+
+    rng = np.random.default_rng(6)
+    base = rng.integers(-(1 << 62), 1 << 62, (6, 4))
+    rows = []
+    for i in range(300):
+        f = base[i % 6].copy().view(np.uint64)
+        for bit in rng.choice(256, rng.integers(0, 20), replace=False):
+            f[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        rows.append((i + 1, *map(int, f.view(np.int64))))
+    classes = spark.createDataFrame(rows, "node long, f0 long, f1 long, f2 long, f3 long").repartition(3)
+    nodes = [r[0] for r in rows]
+    pairs = [(r.a, r.b) for r in sh.links(classes, "node", 256, sh.WIDE_BANDS, 40).collect()]
+    want = smallest_reachable(nodes, pairs)
+    plain = [(r.a, r.b) for r in sh.near_edges(classes, "node", 256, sh.WIDE_BANDS, 40).collect()]
+    assert set(plain) <= set(pairs) and smallest_reachable(nodes, plain) == want
+    monkeypatch.setattr(sh, "TILE", 7)
+    monkeypatch.setattr(sh, "EDGES", 10)
+    tiled = [(r.a, r.b) for r in sh.near_edges(classes, "node", 256, sh.WIDE_BANDS, 40).collect()]
+    assert set(tiled) <= set(pairs) and smallest_reachable(nodes, tiled) == want
