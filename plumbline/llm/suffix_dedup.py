@@ -260,7 +260,8 @@ def drop_repeated_strings(
 
     sent = stage(_bodies(narrow.select("text"), length, *filters), "bodies")
     found = _shards(sent.where("not crowd"), length, shard).unionByName(_crowds(sent.where("crowd"), length))
-    result = known.join(stage(found, "repeats"), ["anchor", "body"], "left").where("whole or runs is not null")
+    # Staged, so that both sides of the join are shuffled for it alone and a segment of very many copies can be split.
+    result = stage(known.join(stage(found, "repeats"), ["anchor", "body"], "left").where("whole or runs is not null"), "results")
     hit = occurrences.join(result, ["anchor", "body"])
     pairs = F.when(F.col("whole"), F.array(F.struct(F.lit(0).alias("a"), F.col("strings").alias("b")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.size("runs") - 2, F.lit(2)), lambda i: F.struct(F.get("runs", i).alias("a"), F.get("runs", i + 1).alias("b"))))
