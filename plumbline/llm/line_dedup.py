@@ -81,6 +81,7 @@ def drop_repeated_lines(
     id_type = docs.schema[id].dataType.simpleString()
     suspects = stage(narrow.mapInArrow(suspected, f"id {id_type}, key binary"), "suspects")
     repeated = suspects.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keep")).where(F.col("n") >= min_docs)
+    repeated = stage(repeated, "repeated")  # else the join has one shuffle, and the rows of a common line could not be split
     drops = (suspects.join(repeated, "key").where("keep is not null and not (id <=> keep)")
              .groupBy(F.col("id").alias("__id")).agg(F.collect_set("key").alias("__keys")))
     joined = packed.join(drops, packed[id].eqNullSafe(drops["__id"]), "left").drop("__id")
