@@ -225,14 +225,22 @@ def shortest_forest(a: np.ndarray, b: np.ndarray, length: np.ndarray, n: int) ->
             part = root[part]
 
 
-def tile_edges(nodes: np.ndarray, words: np.ndarray, home: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def tile_edges(
+    nodes: np.ndarray, words: np.ndarray, home: np.ndarray, most: int, earlier: tuple[Band, ...] = (), tables=None
+) -> tuple[np.ndarray, np.ndarray]:
     """The shortest links that connect what homes and visitors of one tile within ``most`` bits connect, three times over.
 
-    Bits only estimate similarity: where the exact comparison rejects an edge of one forest, another may hold.
+    Bits only estimate similarity: where the exact comparison rejects an edge of one forest, another may hold. A pair
+    that met at an anchor of one of the ``earlier`` bands is connected there already and left out here.
     """
     ids, place = np.unique(nodes, return_inverse=True)
     h, v = np.flatnonzero(home), np.flatnonzero(~home)
     held = [np.zeros((0, 3), np.int64)]
+    before = []
+    for first, _, threshold in earlier:
+        code = _bits(words, first, LENGTH)
+        low, high, errors = tables
+        before.append((code, code ^ errors[low[code & 0xFFF] ^ high[code >> 12]], RADIUS + threshold))
 
     def thinned() -> np.ndarray:
         rest, kept = np.concatenate(held), []
@@ -250,6 +258,9 @@ def tile_edges(nodes: np.ndarray, words: np.ndarray, home: np.ndarray, most: int
         i, j = np.nonzero(distance <= most)
         x, y = place[rows[i]], place[v[j]]
         other = x != y
+        for code, nearest, reach in before:
+            met = (np.bitwise_count(code[v[j]] ^ nearest[rows[i]]) <= reach) | (np.bitwise_count(code[rows[i]] ^ nearest[v[j]]) <= reach)
+            other &= ~met
         held.append(np.column_stack([x, y, distance[i, j]])[other].astype(np.int64))
         if sum(map(len, held)) > EDGES:
             held = [thinned()]
@@ -262,7 +273,8 @@ def near_edges(classes: DataFrame, node: str, width: int, bands: tuple[Band, ...
 
     As ``links``, but a group of mutual near-copies yields the shortest edges that connect it instead of all its pairs. The
     homes and visitors of a crowded anchor are dealt out to tiles of bounded size, every home tile against every
-    visitor tile; the number of anchors is fixed by the code, so the table of their tiles has a bounded size.
+    visitor tile; the number of anchors is fixed by the code, so the table of their tiles has a bounded size. A pair counts
+    in the first band only whose anchors it meets at. Bands have no exact bits.
     """
     names = word_names(width)
     number = len(bands) << 12
@@ -307,10 +319,12 @@ def near_edges(classes: DataFrame, node: str, width: int, bands: tuple[Band, ...
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        tables = golay_tables()
 
         def edges(rows: pa.Table) -> pa.RecordBatch:
+            earlier = bands[:rows.column("anchor")[0].as_py() >> 12]
             columns = [rows.column(n).to_numpy() for n in (node, "home", *names)]
-            a, b = tile_edges(columns[0], np.stack(columns[2:], axis=1).view(np.uint64), columns[1].astype(bool), most)
+            a, b = tile_edges(columns[0], np.stack(columns[2:], axis=1).view(np.uint64), columns[1].astype(bool), most, earlier, tables)
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
         last = None
