@@ -98,7 +98,8 @@ def fingerprint(text: str | None, shingle: int, width: int) -> np.ndarray:
     """SimHash of word shingles as 64-bit words: a bit is set if more than half of the shingle hashes have it.
 
     Words are divided by ASCII white space, A-Z in lower case; fewer words than a shingle are one shingle, none give
-    zero. 64 bits are XXH64 with seed 42; wider ones are XXH3-128 with seeds 42, 43, ...
+    zero. 64 bits are XXH64 with seed 42, and a repeated shingle votes each time; wider ones are XXH3-128 with seeds 42,
+    43, ..., and each distinct shingle votes once, as they estimate the similarity of sets.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
@@ -113,7 +114,7 @@ def fingerprint(text: str | None, shingle: int, width: int) -> np.ndarray:
         hashes = np.array([hash_(joined[a:b], 42) for a, b in spans], np.uint64).view(np.uint8).reshape(-1, 8)
     else:
         hash_, seeds = xxhash.xxh3_128_digest, range(42, 42 + width // 128)
-        data = b"".join([hash_(joined[a:b], s) for a, b in spans for s in seeds])
+        data = b"".join([hash_(x, s) for x in {joined[a:b] for a, b in spans} for s in seeds])
         hashes = np.frombuffer(data, np.uint8).reshape(-1, width // 8)
     columns = width // 8
     votes = np.bincount((hashes + np.arange(columns) * 256).ravel(), minlength=256 * columns).reshape(columns, 256) @ COUNTS

@@ -139,3 +139,17 @@ def test_shortest_edges_connect_what_all_links_connect(spark, monkeypatch):
     monkeypatch.setattr(sh, "EDGES", 10)
     tiled = [(r.a, r.b) for r in sh.near_edges(classes, "node", 256, sh.WIDE_BANDS, 40).collect()]
     assert set(tiled) <= set(pairs) and smallest_reachable(nodes, tiled) == want
+
+
+def kept_ids(docs):
+    return {r.doc_id for r in drop_near_duplicates(docs).collect()}
+
+
+def test_repetition_does_not_hide_equal_sets(spark, documents):
+    rng = random.Random(11)
+    rows = []
+    for i in range(0, 40, 2):
+        line, rest = (" ".join(str(rng.random()) for _ in range(n)) for n in (12, 300))
+        rows += [(i, f"{line} {rest}"), (i + 1, " ".join([line] * 100 + [rest]))]
+    assert all(jaccard(rows[i][1], rows[i + 1][1]) >= 0.95 for i in range(0, 40, 2))
+    assert kept_ids(documents(rows)) == set(range(0, 40, 2))
