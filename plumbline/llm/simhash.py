@@ -94,16 +94,16 @@ def places(words: np.ndarray, number: int, band: Band, tables, home: bool) -> tu
 COUNTS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: str | None, shingle: int, width: int) -> np.ndarray:
-    """SimHash of word shingles as 64-bit words: a bit is set if more than half of the shingle hashes have it.
+def shingle_hashes(text: str | None, shingle: int, width: int) -> np.ndarray:
+    """The hashes of the word shingles as rows of bytes.
 
-    Words are divided by ASCII white space, A-Z in lower case; fewer words than a shingle are one shingle, none give
-    zero. 64 bits are XXH64 with seed 42, and a repeated shingle votes each time; wider ones are XXH3-128 with seeds 42,
-    43, ..., and each distinct shingle votes once, as they estimate the similarity of sets.
+    Words are divided by ASCII white space, A-Z in lower case; fewer words than a shingle are one shingle, none give no
+    row. 64 bits are XXH64 with seed 42, one row per place; wider ones are XXH3-128 with seeds 42, 43, ..., one row per
+    distinct shingle.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return np.zeros(width // 64, np.uint64)
+        return np.zeros((0, width // 8), np.uint8)
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
@@ -111,16 +111,24 @@ def fingerprint(text: str | None, shingle: int, width: int) -> np.ndarray:
     spans = zip((ends - size)[:len(words) - k + 1].tolist(), ends[k - 1:].tolist())
     if width == 64:
         hash_ = xxhash.xxh64_intdigest
-        hashes = np.array([hash_(joined[a:b], 42) for a, b in spans], np.uint64).view(np.uint8).reshape(-1, 8)
-    else:
-        hash_, seeds = xxhash.xxh3_128_digest, range(42, 42 + width // 128)
-        data = b"".join([hash_(x, s) for x in {joined[a:b] for a, b in spans} for s in seeds])
-        hashes = np.frombuffer(data, np.uint8).reshape(-1, width // 8)
-    columns = width // 8
+        return np.array([hash_(joined[a:b], 42) for a, b in spans], np.uint64).view(np.uint8).reshape(-1, 8)
+    hash_, seeds = xxhash.xxh3_128_digest, range(42, 42 + width // 128)
+    data = b"".join([hash_(x, s) for x in {joined[a:b] for a, b in spans} for s in seeds])
+    return np.frombuffer(data, np.uint8).reshape(-1, width // 8)
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """SimHash as 64-bit words: a bit is set if more than half of the rows of bytes have it; no rows give zero."""
+    columns = hashes.shape[1]
     votes = np.bincount((hashes + np.arange(columns) * 256).ravel(), minlength=256 * columns).reshape(columns, 256) @ COUNTS
     return np.packbits(votes.ravel() * 2 > len(hashes), bitorder="little").view(np.uint64)
 
 
+def fingerprint(text: str | None, shingle: int, width: int) -> np.ndarray:
+    """SimHash of the word shingles of a text; repeated ones vote each time for 64 bits, once for more."""
+    return majority(shingle_hashes(text, shingle, width))
+
+
 def word_names(width: int) -> list[str]:
     return [f"f{i}" for i in range(width // 64)]
 
@@ -349,13 +357,34 @@ def near_edges(classes: DataFrame, node: str, width: int, bands: tuple[Band, ...
     return met.mapInArrow(compare, "a long, b long")
 
 
+def members(hashes: np.ndarray) -> np.ndarray:
+    """Distinct 64-bit hashes, in order, of the rows that ``shingle_hashes`` gives for wide fingerprints."""
+    return np.unique(np.ascontiguousarray(hashes[:, :8]).view(np.int64).ravel())
+
+
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """Distinct 32-bit hashes of the word shingles in order."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    k = min(shingle, len(words))
-    if not k:
-        return np.zeros(0, np.int32)
-    return np.unique(np.array([xxhash.xxh32_intdigest(b" ".join(words[i:i + k])) for i in range(len(words) - k + 1)], np.uint32)).view(np.int32)
+    """Distinct 64-bit hashes of the word shingles in order."""
+    return members(shingle_hashes(text, shingle, 128))
+
+
+def set_prints(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """``docs`` with the wide fingerprint, a 128-bit hash ``s0``, ``s1`` of the shingle set and its ``size`` in place of the text."""
+    names = word_names(WIDE)
+
+    def compute(batch: pa.RecordBatch) -> dict:
+        prints, keys, sizes = [], [], []
+        for t in batch.column(text).to_pylist():
+            hashes = shingle_hashes(t, shingle, WIDE)
+            held = members(hashes)
+            prints.append(majority(hashes))
+            keys.append(xxhash.xxh3_128_digest(held.tobytes(), 42))
+            sizes.append(len(held))
+        found = np.array(prints, np.uint64).reshape(-1, len(names)).view(np.int64)
+        key = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+        columns = {n: pa.array(found[:, i]) for i, n in enumerate(names)} | {n: pa.array(key[:, i]) for i, n in enumerate(("s0", "s1"))}
+        return columns | {"size": pa.array(sizes, pa.int64())}
+
+    return map_rows(docs, ", ".join(f"{n} long" for n in [*names, "s0", "s1", "size"]), compute, drop=(text,))
 
 
 def _similar(least: float):
@@ -380,31 +409,33 @@ def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text"
     edges (three disjoint forests per anchor), not by all pairs. The sets of both ends of an edge are then compared exactly. A lone pair of
     similarity 0.8 is missed by all ten bands about once in thirty; more similar pairs more rarely.
 
-    Equal fingerprints are one class; only classes in a candidate pair have their sets built. Defined cases: null and
+    Equal sets are one class, known by 128 bits of hash; different sets with one fingerprint are candidates like others.
+    Only classes in a candidate pair have their sets built. Defined cases: null and
     empty texts are equal to each other; repeated rows are copies; rows without id stay only if no row of their group
     has one; an empty table gives no rows; columns are kept as they are.
     """
     names = word_names(WIDE)
     text_hash = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     rows = docs.select(F.col(id).alias("__id"), text_hash.alias("__text"), F.col(text).alias("__words"))
-    rows = stage(fingerprints(rows, "__words", shingle, WIDE).withColumn("node", F.xxhash64(*names)), "fingerprints")
-    classes = stage(rows.groupBy("node", *names).agg(F.min(F.struct("__id", "__text")).alias("of")), "classes")
+    first = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__text").alias("text")))
+    classes = set_prints(rows, "__words", shingle).groupBy("s0", "s1", "size", *names).agg(first.alias("of"))
+    classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     pairs = stage(near_edges(classes, "node", WIDE, WIDE_BANDS, WIDE_MOST).distinct(), "candidates")
 
     # One text of each class that is in a pair, and its set.
     wanted = (pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node")
-              .select("node", F.col("of.__id").alias("__of"), F.col("of.__text").alias("__text")))
+              .select("node", F.col("of.id").alias("__of"), F.col("of.text").alias("__text")))
     given = docs.select(F.col(id).alias("__id"), text_hash.alias("__text"), F.col(text).alias("__words"))
     texts = given.join(wanted, (given["__text"] == wanted["__text"]) & given["__id"].eqNullSafe(wanted["__of"])).select("node", "__words").dropDuplicates(["node"])
-    sets = map_rows(texts, "s array<int>", lambda b: {"s": pa.array([shingle_set(t, shingle) for t in b.column("__words").to_pylist()], pa.list_(pa.int32()))}, drop=("__words",))
+    sets = map_rows(texts, "s array<long>", lambda b: {"s": pa.array([shingle_set(t, shingle) for t in b.column("__words").to_pylist()], pa.list_(pa.int64()))}, drop=("__words",))
     sets = stage(sets, "sets")
     full = (pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b"))
     edges = map_rows(full, "similar boolean", _similar(least), drop=("sa", "sb")).where("similar")
     parts = components(edges)
 
-    grouped = rows.select("__id", "__text", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    keep = grouped.groupBy("component").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__text").alias("text"))).alias("k"))
+    grouped = classes.select("node", "of").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    keep = grouped.groupBy("component").agg(F.min("of").alias("k"))
     keep = keep.select(F.col("k.id").alias("__keep"), F.col("k.text").alias("__text"))
     kept = docs.withColumn("__text", text_hash)
     kept = kept.join(keep, (kept["__text"] == keep["__text"]) & kept[id].eqNullSafe(keep["__keep"]), "left_semi")

@@ -153,3 +153,16 @@ def test_repetition_does_not_hide_equal_sets(spark, documents):
         rows += [(i, f"{line} {rest}"), (i + 1, " ".join([line] * 100 + [rest]))]
     assert all(jaccard(rows[i][1], rows[i + 1][1]) >= 0.95 for i in range(0, 40, 2))
     assert kept_ids(documents(rows)) == set(range(0, 40, 2))
+
+
+def test_equal_fingerprints_are_compared(spark, documents, monkeypatch):
+    import plumbline.llm.simhash as sh
+
+    rng = random.Random(12)
+    filler = [(i, " ".join(["."] * 2000 + [str(rng.random()) for _ in range(60)])) for i in range(6)]
+    assert kept_ids(documents(filler)) == set(range(6))
+    # Whatever the texts: one fingerprint for all.
+    plain = [(i, " ".join(str(rng.random()) for _ in range(60))) for i in range(5)]
+    copy = (9, plain[3][1] + " one more")
+    monkeypatch.setattr(sh, "majority", lambda hashes: np.zeros(hashes.shape[1] // 8, np.uint64))
+    assert kept_ids(documents(plain + [copy])) == set(range(5))
