@@ -166,3 +166,30 @@ def test_equal_fingerprints_are_compared(spark, documents, monkeypatch):
     copy = (9, plain[3][1] + " one more")
     monkeypatch.setattr(sh, "majority", lambda hashes: np.zeros(hashes.shape[1] // 8, np.uint64))
     assert kept_ids(documents(plain + [copy])) == set(range(5))
+
+
+def test_crowd_around_the_limit(spark, documents, monkeypatch):
+    import plumbline.llm.simhash as sh
+
+    rng = random.Random(13)
+    rows = []
+    for g in range(4):
+        base = [str(rng.random()) for _ in range(300)]
+        for i in range(60):
+            w = list(base)
+            for _ in range(rng.randint(3, 9)):
+                w[rng.randrange(len(w))] = str(rng.random())
+            rows.append((100 * g + i, " ".join(w)))
+    rng.shuffle(rows)
+    text = dict(rows)
+    prints = [(i, *map(int, fingerprint(t, 5, 256).view(np.int64))) for i, t in rows]
+    classes = spark.createDataFrame(prints, "node long, f0 long, f1 long, f2 long, f3 long").repartition(3)
+    met = {(r.a, r.b) for r in sh.links(classes, "node", 256, sh.WIDE_BANDS, sh.WIDE_MOST).collect()}
+    edges = [(a, b) for a, b in met if jaccard(text[a], text[b]) >= 0.8]
+    root = smallest_reachable(list(text), edges)
+    want = {i for i in text if root[i] == i}
+    assert 20 < len(want) < len(text) - 20 and len(edges) * 5 < len(met)
+    assert kept_ids(documents(rows)) == want
+    monkeypatch.setattr(sh, "TILE", 9)
+    monkeypatch.setattr(sh, "SHINGLES", 1000)
+    assert kept_ids(documents(rows)) == want
