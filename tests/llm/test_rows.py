@@ -68,6 +68,21 @@ def test_secrets(spark, documents):
     assert scan_secrets(documents([])).collect() == []
 
 
+def test_long_loose_secret():
+    import time
+
+    from plumbline.llm.secrets import base_spans, linked_spans
+
+    access = "AKIA" + "A1B2C3D4E5F6"
+    for n in (128, 129, 164, 5000):
+        text = f"{access} {'Ab1' * n} =".replace("Ab1" * n, ("Ab1" * n)[:n]) + " https://db.example.org"
+        assert [(k, e - s) for s, k, e in sorted(linked_spans(text, base_spans(text), 400))] == [("key", n), ("endpoint", 22)][:1 if n > 400 else 2]
+    began = time.time()
+    for text in ("a" * 300_000, "aB1" * 100_000 + "=====", "A1b/" * 100_000 + "é"):
+        linked_spans(text, base_spans(text), 400)
+    assert time.time() - began < 5
+
+
 def test_interval_join_equals_all_pairs():
     import numpy as np
 
