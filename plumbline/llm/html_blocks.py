@@ -10,12 +10,17 @@ TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|(/?)([A-Za-z][^\s/>]*)((?:
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 TOKEN = re.compile(r"[a-z]+")
 # Elements whose content is not text of the page.
-HIDDEN = frozenset("script style template noscript iframe object svg math".split())
-RAW = frozenset("script style template noscript iframe textarea title svg math object".split())
+HIDDEN = frozenset("script style template noscript iframe".split())
+RAW = frozenset("textarea title".split())
+# Drawings and formulas stand in a line of text, with elements of their own; those of a page that cannot be in them end them.
+FOREIGN = frozenset("svg math".split())
+BREAKS = frozenset(
+    "address article aside blockquote body center dd details div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 head header hr li main menu "
+    "nav ol p pre section table ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Inside a block; everything else begins and ends one.
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike "
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark object q rp rt ruby s samp small span strike "
     "strong sub sup time tt u var br wbr img picture source".split())
 CLOSES_P = "p"
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -87,6 +92,25 @@ def blocks(page: str | None) -> list[Block]:
         if not name:
             continue
         tag = name.lower()
+        empty = attributes.endswith("/")
+        inside = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in FOREIGN), -1)
+        if tag in HIDDEN:
+            if not end and not (inside >= 0 and empty):
+                stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+                at = stop.end() if stop else size
+            continue
+        if tag in FOREIGN or inside >= 0 and not end and tag not in BREAKS:
+            if end:
+                close(tag)
+            elif not empty and tag not in VOID:
+                stack.append((tag, frozenset(), None))
+            continue
+        if inside >= 0:
+            if not end:
+                del stack[inside:]
+            elif any(t == tag for t, _, _ in stack[inside:]):
+                close(tag)
+                continue
         if tag in INLINE:
             if tag in ("br", "wbr", "img"):
                 if tag == "br":
@@ -116,14 +140,13 @@ def blocks(page: str | None) -> list[Block]:
             label = found.get("data-label")
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            if tag not in HIDDEN:
-                stack.append((tag, names, label))
-                add(page[at:stop.start() if stop else size])
-                flush()
-                stack.pop()
+            stack.append((tag, names, label))
+            add(page[at:stop.start() if stop else size])
+            flush()
+            stack.pop()
             at = stop.end() if stop else size
             continue
-        if tag not in VOID and not attributes.endswith("/"):
+        if tag not in VOID and not empty:
             stack.append((tag, names, label))
     flush()
     return out

@@ -27,6 +27,16 @@ def test_blocks():
     assert len(blocks("<p>" * 3000 + "x" + "<div>" * 3000 + "y")) == 2
 
 
+def test_foreign_and_hidden_elements_lose_no_text():
+    assert texts("<p>a <svg class='icon'/>b</p><p>c") == ["a b", "c"]
+    assert texts("<p>a</p><svg class=icon><p>b</p><p>c") == ["a", "b", "c"]
+    assert texts("<p>a <svg><g><path d='M0'/></g><script/></svg>b <script>x</script>c<style>y</style></p>") == ["a b c"]
+    assert texts("<p>sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math> ok</p><p>d") == ["sum x+1 ok", "d"]
+    assert texts("<p>see <object data=x>the film</object> now</p><object><p>e</p></object>f") == ["see the film now", "e", "f"]
+    assert texts("<div><svg>t</div>u") == ["t", "u"]
+    assert len(blocks("<svg>" * 3000 + "x" + "<p>y")) == 2
+
+
 def test_viterbi_is_best_path():
     import itertools
 
