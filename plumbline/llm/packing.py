@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from plumbline.session import stage
 
 BATCH_CHARS = 2 << 20  # text that is tokenized at once
-CACHE = 300_000  # pieces whose ids a task remembers
+CACHE = 500_000  # pieces whose ids a task remembers
 LATIN = 0x250  # below this code point all Unicode versions agree on letters and numbers
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 
@@ -67,33 +67,30 @@ def piece_starts(chars: np.ndarray, firsts: np.ndarray, classes: np.ndarray) ->
 
 
 class Encoder:
-    """Byte-level BPE ids of many texts at once, equal to those of the ``tokenizers`` file.
+    """Byte-level BPE ids of many texts at once, all given by the ``tokenizers`` file.
 
-    Latin texts are cut into pieces with array operations and each distinct piece is encoded once per batch; texts
-    with other characters go to the library as they are. ``ranks_file`` holds the vocabulary of ``file`` as ranks.
+    Latin texts are cut into pieces with array operations, as the file's own pattern cuts them, and the library
+    encodes each distinct piece once; texts with other characters or with the string of a special token go to it whole.
     """
 
-    def __init__(self, file: str, ranks_file: str, pattern: str):
-        import base64
-
-        import tiktoken
+    def __init__(self, file: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(file)
-        self.library.encode_special_tokens = True
-        with open(ranks_file, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.classes = _classes()
         self.cache: dict[str, list[int]] = {}
 
-    def _ids(self, piece: str) -> list[int]:
-        ids = self.cache.get(piece)
-        if ids is None:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            ids = self.cache[piece] = self.bpe.encode_ordinary(piece)
-        return ids
+    def _ids(self, pieces: list[str]) -> list[list[int]]:
+        if len(self.cache) >= CACHE:
+            self.cache.clear()
+        new = [p for p in pieces if p not in self.cache]
+        if new:
+            found = self.library.encode_batch([new], is_pretokenized=True, add_special_tokens=False)[0]
+            ids, cuts = found.ids, np.searchsorted(found.word_ids, np.arange(len(new) + 1)).tolist()
+            for p, a, b in zip(new, cuts, cuts[1:]):
+                self.cache[p] = ids[a:b]
+        return [self.cache[p] for p in pieces]
 
     def latin(self, texts: list[str]) -> list[np.ndarray]:
         joined = "".join(texts)
@@ -108,7 +105,7 @@ class Encoder:
         offsets = np.append(at + wide[at], len(raw)).astype(np.int64)
         pieces = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(raw)).dictionary_encode()
         codes = pieces.indices.to_numpy()
-        ids = [self._ids(p) for p in pieces.dictionary.to_pylist()]
+        ids = self._ids(pieces.dictionary.to_pylist())
         length = np.array([len(x) for x in ids], np.int64)
         flat = np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum()))
         base = np.cumsum(length) - length
@@ -120,7 +117,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
-        plain = [i for i, t in enumerate(texts) if t.isascii() or max(t) < chr(LATIN)]
+        plain = [i for i, t in enumerate(texts) if (t.isascii() or max(t) < chr(LATIN)) and not any(s in t for s in self.special)]
         for i, ids in zip(plain, self.latin([texts[i] for i in plain])):
             out[i] = ids
         rest = [i for i, x in enumerate(out) if x is None]
@@ -262,12 +259,12 @@ def _placement(plan: list[Pattern]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return tuple(np.array(x, np.int64) for x in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 3
 
 
-def tokenize(docs: DataFrame, id: str, text: str, file: str, ranks_file: str, pattern: str, capacity: int, end: int, keep_ids: bool) -> DataFrame:
+def tokenize(docs: DataFrame, id: str, text: str, file: str, capacity: int, end: int, keep_ids: bool) -> DataFrame:
     """The pieces of all documents, numbered within their task and length."""
     id_type = docs.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = Encoder(file, ranks_file, pattern), TaskContext.get().partitionId()
+        encoder, shard = Encoder(file), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
 
         def pieces(ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
@@ -311,7 +308,7 @@ def tokenize(docs: DataFrame, id: str, text: str, file: str, ranks_file: str, pa
 
 
 def pack_documents(
-    docs: DataFrame, file: str, ranks_file: str, pattern: str, id: str = "doc_id", text: str = "text",
+    docs: DataFrame, file: str, id: str = "doc_id", text: str = "text",
     capacity: int = 2048, end: int = 0, keep_ids: bool = False,
 ) -> DataFrame:
     """All documents in few sequences of at most ``capacity`` tokens: a row per piece, with ``ids`` if asked for.
@@ -327,7 +324,7 @@ def pack_documents(
     null; which of equal lengths goes where is arbitrary; an empty table gives no rows. Only id and text are read.
     """
     spark = docs.sparkSession
-    pieces = stage(tokenize(docs, id, text, file, ranks_file, pattern, capacity, end, keep_ids), "pieces")
+    pieces = stage(tokenize(docs, id, text, file, capacity, end, keep_ids), "pieces")
     counts = stage(pieces.groupBy("shard", "length").agg(F.count("*").alias("n")), "lengths")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table = spark.sparkContext.broadcast(_placement(plan_sequences(histogram, capacity)))

@@ -80,9 +80,7 @@ def op5(spark, sf):
 @register("op6_best_fit_packing")
 def op6(spark, sf):
     """All documents packed into sequences of 2048 tokens."""
-    path = public_tokenizers.path
-    return pack_documents(
-        table(spark, sf, "documents", "doc_id", "text"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return pack_documents(table(spark, sf, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @register("op1_html_crf")

@@ -3,16 +3,19 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow.parquet as pq
 import pytest
+from tokenizers import Tokenizer
 
 from plumbline.llm.packing import Encoder, best_fit, pack_documents, plan_sequences, reduce_instance
 
-FILES = (P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+FILE = P.path("byte_bpe_50k.json")
+GIVEN = "/root/testdata/sf0.1"
 
 
 @pytest.fixture(scope="module")
 def encoder():
-    return Encoder(*FILES)
+    return Encoder(FILE)
 
 
 def test_ids_equal_the_library(encoder):
@@ -46,6 +49,15 @@ def fewest(items, capacity):
     return best
 
 
+def bound(counts, capacity, alpha):
+    """Martello and Toth's lower bound L2 for one alpha: what cannot share, and what overflows the room beside the halves."""
+    alone = sum(n for s, n in counts.items() if s > capacity - alpha)
+    large = {s: n for s, n in counts.items() if capacity / 2 < s <= capacity - alpha}
+    small = sum(s * n for s, n in counts.items() if alpha <= s <= capacity / 2)
+    room = sum((capacity - s) * n for s, n in large.items())
+    return alone + sum(large.values()) + max(0, -(-(small - room) // capacity))
+
+
 def histogram(items):
     return {s: items.count(s) for s in set(items)}
 
@@ -70,8 +82,7 @@ def test_large_counts_take_few_patterns():
     rng = random.Random(5)
     counts = {s: rng.randint(1, 10**9) for s in range(1, 2049)}
     plan = plan_sequences(counts, 2048)
-    total = sum(s * n for s, n in counts.items())
-    least = max(total / 2048, sum(n for s, n in counts.items() if s > 1024))
+    least = max(bound(counts, 2048, alpha) for alpha in range(1025))
     assert sum(n for _, n in plan) <= 1.001 * least and len(plan) < 20_000
     assert best_fit({}, 10) == []
 
@@ -81,7 +92,7 @@ def test_pack_documents(spark, documents, encoder):
     texts = [None, "", "a", "a", "word " * 5000, "日本 " * 900] + [" ".join(rng.choices(["the", "of", "xyz", "12"], k=rng.randint(1, 400))) for _ in range(60)]
     rows = [(i, t) for i, t in enumerate(texts)] + [(3, "a"), (None, "b")]
     docs = documents(rows).repartition(5)
-    out = pack_documents(docs, *FILES, capacity=256, keep_ids=True).collect()
+    out = pack_documents(docs, FILE, capacity=256, keep_ids=True).collect()
     bins = {}
     for r in out:
         bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -104,4 +115,4 @@ def test_pack_documents(spark, documents, encoder):
         assert [r.start for r in own] == [sum(q.length for q in own[:k]) for k in range(len(own))]
     total = sum(r.length for r in out)
     assert len(bins) <= -(-total // 256) + 1
-    assert pack_documents(documents([]), *FILES).collect() == []
+    assert pack_documents(documents([]), FILE).collect() == []
