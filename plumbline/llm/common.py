@@ -9,10 +9,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from plumbline.session import stage
+from plumbline.session import scratch_path, stage
 
 REST = "__rest"
 SEGMENT = 1 << 16  # bits of a filter that travel in one row
@@ -58,6 +59,17 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder under the scratch folder as a full URI, so that tasks find the same store as Spark does."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, label))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def open_uri(uri: str) -> tuple[fs.FileSystem, str]:
+    """The store and the path in it of a full URI."""
+    return fs.FileSystem.from_uri(uri)
+
+
 def _positions(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
     mask = np.uint64(bits - 1)
     return [(hashes & mask).astype(np.int64), ((hashes >> np.uint64(32)) & mask).astype(np.int64)]

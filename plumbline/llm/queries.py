@@ -11,13 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.llm import html_crf, quality
-from plumbline.llm.common import map_rows, small_batches
+from plumbline.llm.common import map_rows, shared_folder, small_batches
 from plumbline.llm.decontaminate import find_overlaps
 from plumbline.llm.line_dedup import drop_repeated_lines
 from plumbline.llm.packing import pack_documents
 from plumbline.llm.secrets import scan_secrets
 from plumbline.llm.simhash import simhash_components
 from plumbline.llm.suffix_dedup import drop_repeated_strings, sha256
+from plumbline.llm.token_codes import read_tokens, write_tokens
 from plumbline.llm.topk import top_k
 from plumbline.llm.warc import archive_folder, read_warc, write_warc
 
@@ -176,6 +177,14 @@ def op10(spark, sf):
     return map_rows(narrow, "n_hit long, n_items long, items_sha256 string, contaminated boolean", digest, drop=("spans", "items"))
 
 
+@register("op13_token_codes")
+def op13(spark, sf):
+    """The token ids of all documents, written to directly addressable files and read back."""
+    docs = table(spark, sf, "documents", "doc_id", "text")
+    files = write_tokens(docs, shared_folder(spark, "codes"), public_tokenizers.path("byte_bpe_50k.json"))
+    return read_tokens(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
