@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from plumbline.llm import html_crf, quality
 from plumbline.llm.common import map_rows, shared_folder, small_batches
 from plumbline.llm.decontaminate import find_overlaps
+from plumbline.llm.divergence import source_divergence
 from plumbline.llm.line_dedup import drop_repeated_lines
 from plumbline.llm.packing import pack_documents
+from plumbline.llm.prefix_trie import ends_digest, number_turns, prefix_trie, splice_heads
 from plumbline.llm.secrets import scan_secrets
 from plumbline.llm.simhash import simhash_components
 from plumbline.llm.suffix_dedup import drop_repeated_strings, sha256
@@ -177,6 +179,77 @@ def op10(spark, sf):
     return map_rows(narrow, "n_hit long, n_items long, items_sha256 string, contaminated boolean", digest, drop=("spans", "items"))
 
 
+# CRC-32 of the decimal id: a step per bit, the first of each byte takes the byte in.
+CRC32 = """xor(4294967295, list_reduce(list_prepend(cast(4294967295 as bigint), flatten(list_transform(
+    string_split(cast(conv_id as varchar), ''), lambda ch: list_prepend(cast(ord(ch) as bigint), list_transform(range(7), lambda z: cast(0 as bigint)))))),
+  lambda c, x: case when xor(c, x) & 1 = 1 then xor(xor(c, x) >> 1, 3988292384) else xor(c, x) >> 1 end))"""
+
+
+@register("op11_prefix_trie", f"""
+with t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos
+  from conversations where conv_id is not null),
+c as (select conv_id, conv_id - conv_id % 5 as other, cast({CRC32} % 9 as bigint) as h from (select distinct conv_id from t)),
+n as (select c.*, coalesce((select count(*) from t where t.conv_id = c.other and t.pos <= c.h), 0) as m from c),
+r as (select n.conv_id, t.pos, role, text from n join t on t.conv_id = n.other and t.pos <= n.h
+  union all select n.conv_id, t.pos - n.h + n.m, role, text from n join t on t.conv_id = n.conv_id and t.pos > n.h),
+k as (select conv_id, pos, octet_length(encode(text)) as bytes,
+    sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') over (partition by conv_id order by pos)) as node from r),
+p as (select conv_id, pos as depth, node, coalesce(lag(node) over (partition by conv_id order by pos), 'root') as parent, bytes from k
+  union all select conv_id, 0, 'root', null, 0 from c),
+nodes as (select node, min(parent) as parent, min(depth) as depth, min(bytes) as bytes, min(conv_id) as conv_id, count(*) as n_convs from p group by node),
+kids as (select parent as node, count(*) as n from nodes where depth > 0 group by parent),
+tree as (select p.node, count(*) filter (where k.n is null) as n_leaves, cast(sum((d.n_convs - 1) * d.bytes) as bigint) as saved
+  from nodes d join p on p.conv_id = d.conv_id and p.depth <= d.depth left join kids k on k.node = d.node group by p.node),
+ends as (select node, string_agg(cast(conv_id as varchar), ',' order by conv_id) as ids
+  from (select conv_id, arg_max(node, depth) as node from p group by conv_id) group by node)
+select v.conv_id, v.depth, u.conv_id as parent_conv_id, v.n_convs, coalesce(k.n, 0) as n_children, t.n_leaves,
+  t.saved as saved_tokens, sha256(coalesce(e.ids, '')) as ends_sha256
+from nodes v join tree t using (node) left join nodes u on v.parent = u.node left join kids k on k.node = v.node left join ends e on e.node = v.node
+""")
+def op11(spark, sf):
+    """The prefix trie of all conversations, each rebuilt from the head of another and its own rest."""
+    turns = number_turns(table(spark, sf, "conversations", "conv_id", "turn", "role", "text"))
+    nodes, ends = prefix_trie(*splice_heads(turns))
+    done = nodes.join(ends_digest(ends), "node", "left").withColumnRenamed("saved", "saved_tokens")
+    nothing = hashlib.sha256(b"").hexdigest()
+    return done.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(nothing)).alias("ends_sha256"))
+
+
+TERMS = "regexp_extract_all(" + LOWER.format("coalesce(text, '')") + r", '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@register("op12_source_divergence", f"""
+with d as (select coalesce(lang, '') as lang, coalesce(source, '') as source, {TERMS} as w, row_number() over () as row from documents),
+tokens as (select lang, source, row, unnest(w) as term from d),
+kept as (select lang, term from tokens group by lang, term having count(distinct row) >= 10),
+size as (select lang, count(*) as v from kept group by lang),
+counts as (select lang, source, term, count(*) as n from tokens join kept using (lang, term) group by lang, source, term),
+totals as (select g.lang, g.source, coalesce(t.total, 0) as total, coalesce(z.v, 0) as v
+  from (select distinct lang, source from d) g left join size z using (lang)
+  left join (select lang, source, sum(n) as total from counts group by lang, source) t using (lang, source)),
+grid as (select t.lang, t.source, k.term, coalesce(c.n, 0) as n,
+    cast(1 + (cast(1000000000 as hugeint) * (coalesce(c.n, 0) + 2)) // (t.total + 2 * t.v) as bigint) as p
+  from totals t join kept k using (lang) left join counts c using (lang, source, term)),
+whole as (select lang, term, cast(1 + (cast(1000000000 as hugeint) * (n + 2)) // (total + 2 * v) as bigint) as q
+  from (select lang, term, sum(n) as n from counts group by lang, term)
+  join (select lang, sum(total) as total, any_value(v) as v from totals group by lang) using (lang)),
+sums as (select a.lang, a.source, b.source as item, cast(sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as bigint) as value
+  from grid a join grid b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by a.lang, a.source, b.source),
+pairs as (select x.lang, x.source, 'pair' as part, y.source as item, coalesce(s.value, 0) as value
+  from totals x join totals y on x.lang = y.lang and x.source <> y.source
+  left join sums s on s.lang = x.lang and s.source = x.source and s.item = y.source),
+terms as (select lang, source, 'term' as part, term as item, ((p - q) * (p - q)) // (p + q) as value
+  from grid join whole using (lang, term) where n > 0 and p > q)
+select *, cast(row_number() over (partition by lang, source order by value desc, item) as integer) as rank from pairs
+union all
+select * from (select *, cast(row_number() over (partition by lang, source order by value desc, item) as integer) as rank from terms) where rank <= 10
+""")
+def op12(spark, sf):
+    """How far apart all sources of each language are in their words, and the words typical of each."""
+    return source_divergence(table(spark, sf, "documents", "doc_id", "text", "lang", "source"))
+
+
 @register("op13_token_codes")
 def op13(spark, sf):
     """The token ids of all documents, written to directly addressable files and read back."""
