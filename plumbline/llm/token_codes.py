@@ -218,7 +218,7 @@ def write_tokens(docs: DataFrame, folder: str, file: str, id: str = "doc_id", te
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, context = Encoder(file), TaskContext.get()
+        encoder, context = Encoder.of_worker(file), TaskContext.get()
         part, before, held, ids, size, number = context.partitionId(), 0, [], [], 0, 0
 
         def close() -> pa.RecordBatch:
