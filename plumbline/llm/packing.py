@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from plumbline.session import stage
 
 BATCH_CHARS = 2 << 20  # text that is tokenized at once
-CACHE = 300_000  # pieces whose ids a worker remembers
+CACHE = 600_000  # pieces whose ids a worker remembers
 LATIN = 0x250  # below this code point all Unicode versions agree on letters and numbers
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 
@@ -83,6 +85,7 @@ class Encoder:
         self.library = Tokenizer.from_file(file)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.classes = _classes()
+        self.foreign = re.compile(f"[^\\0-{chr(LATIN - 1)}]").search
         self.cache: dict[str, list[int]] = {}
         self.older: dict[str, list[int]] = {}
         # A byte is one character of a token's text, so the bytes of ids tell which piece they belong to.
@@ -139,9 +142,9 @@ class Encoder:
         offsets = np.append(at + wide[at], len(raw)).astype(np.int64)
         pieces = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(raw)).dictionary_encode()
         codes = pieces.indices.to_numpy()
-        ids = self._ids(pieces.dictionary.to_pylist())
-        length = np.array([len(x) for x in ids], np.int64)
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum()))
+        ids = self._ids(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+        length = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum()))
         base = np.cumsum(length) - length
         per = length[codes]
         upto = np.cumsum(per)
@@ -151,7 +154,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
-        plain = [i for i, t in enumerate(texts) if (t.isascii() or max(t) < chr(LATIN)) and not any(s in t for s in self.special)]
+        plain = [i for i, t in enumerate(texts) if (t.isascii() or not self.foreign(t)) and not any(s in t for s in self.special)]
         for i, ids in zip(plain, self.latin([texts[i] for i in plain])):
             out[i] = ids
         rest = [i for i, x in enumerate(out) if x is None]

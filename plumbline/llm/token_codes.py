@@ -35,9 +35,7 @@ PIECE = 1 << 20  # tokens that are cut at once
 
 def widths_for(ids: np.ndarray) -> list[int]:
     """Chunk widths that take the fewest bits for ``ids``, by dynamic programming over their bit lengths."""
-    bits = np.zeros(len(ids), np.int64)
-    for b in range(32):
-        bits += ids >= (1 << b)
+    bits = np.frexp(ids.astype(np.float64))[1]
     longer = len(ids) - np.cumsum(np.bincount(bits, minlength=33))  # ids of more than b bits
     top = max(1, int(bits.max(initial=0)))
     beside = 1 + 1 / BLOCK  # bitmap and directory, per chunk
