@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from plumbline.session import stage
 
 BATCH_CHARS = 2 << 20  # text that is tokenized at once
-CACHE = 600_000  # pieces whose ids a worker remembers
+CACHE = 450_000  # pieces whose ids a worker remembers
 LATIN = 0x250  # below this code point all Unicode versions agree on letters and numbers
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 
