@@ -66,8 +66,8 @@ def shared_folder(spark: SparkSession, label: str) -> str:
 
 
 def open_uri(uri: str) -> tuple[fs.FileSystem, str]:
-    """The store and the path in it of a full URI."""
-    return fs.FileSystem.from_uri(uri)
+    """The store and the path in it of a full URI; a bare path is local."""
+    return fs.FileSystem.from_uri(uri) if ":/" in uri else (fs.LocalFileSystem(), uri)
 
 
 def _positions(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -171,8 +171,8 @@ def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of undirected long edges ``(a, b)``: the smallest node reachable from each node.
 
     Rounds of large and small stars: every node hooks its larger neighbours, then its smaller ones, to the smallest
-    of them. Each round groups with partial aggregation and joins on the node, where adaptive execution may split a
-    hub; nothing is gathered. Rounds grow with the logarithm of the longest chain; each is staged in the shared folder,
+    of them. Each round groups with partial aggregation and joins on the node; the grouped side is staged, so that the other has
+    a shuffle of its own and adaptive execution may split a hub; nothing is gathered. Rounds grow with the logarithm of the longest chain; each is staged in the shared folder,
     so a lost executor repeats one round. Self-loops and null ends are ignored; no edges give no rows.
     """
     edges = edges.where("a is not null and b is not null and a <> b").select("a", "b").mapInArrow(_local_forest, "a long, b long")
@@ -180,10 +180,10 @@ def components(edges: DataFrame) -> DataFrame:
     previous = _state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = stage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.where("a > b")
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
+        low = stage(down.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = down.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
         edges = stage(small.select("e.a", "e.b").where("a > b").distinct(), "edges")
         state = _state(edges)

@@ -11,11 +11,11 @@ from dataclasses import dataclass, field
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.session import scratch_path, stage
+from plumbline.llm.common import open_uri, shared_folder
+from plumbline.session import stage
 
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -116,10 +116,6 @@ SCHEMA = "page_id long, url string, record_id string, record_type string, payloa
 TYPES = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
 
 
-def _open(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-
-
 def write_warc(pages: DataFrame, folder: str, id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, date: str = DATE) -> DataFrame:
     """Write a record per page to archives under ``folder`` and return their list ``(path, records, bytes)``.
 
@@ -135,8 +131,9 @@ def write_warc(pages: DataFrame, folder: str, id: str = "page_id", url: str = "u
     """
     data = F.encode(F.coalesce(F.col(html), F.lit("")), "utf-8")
     rows = pages.select(F.col(id).cast("long").alias("page_id"), F.col(url).alias("url"), data.alias("payload"), F.sha1(data).alias("digest"))
-    last = (pages.select(F.col(id).cast("long").alias("page_id"), F.sha1(data).alias("digest"), F.octet_length(data).alias("size"))
-            .where(F.col("size") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("last")))
+    # Staged, so that this side has a shuffle of its own and a digest with very many pages can be split.
+    last = stage(pages.select(F.col(id).cast("long").alias("page_id"), F.sha1(data).alias("digest"), F.octet_length(data).alias("size"))
+            .where(F.col("size") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("last")), "digests")
     joined = rows.join(last, "digest", "left").select("page_id", "url", "payload", "last")
     target = folder.rstrip("/")
 
@@ -147,7 +144,7 @@ def write_warc(pages: DataFrame, folder: str, id: str = "page_id", url: str = "u
         for batch in batches:
             for page_id, link, payload, last_id in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
-                    system, name = _open(path)
+                    system, name = open_uri(path)
                     system.create_dir(name.rpartition("/")[0], recursive=True)
                     out = system.open_output_stream(name, compression=None)
                 kind = "response" if last_id is None or page_id == last_id else "revisit"
@@ -174,7 +171,7 @@ def read_warc(archives: DataFrame) -> DataFrame:
 
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                system, name = _open(path)
+                system, name = open_uri(path)
                 held, size = [], 0
                 with system.open_input_stream(name, compression=None) as stream:
                     for r in read_records(stream):
@@ -191,4 +188,4 @@ def read_warc(archives: DataFrame) -> DataFrame:
 
 
 def archive_folder(spark: SparkSession) -> str:
-    return scratch_path(spark, "warc")
+    return shared_folder(spark, "warc")
