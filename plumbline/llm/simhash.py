@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.common import components, map_rows
+from plumbline.llm.common import REST, components, map_rows, pack, unpack
 from plumbline.session import stage
 
 LENGTH, CHECKS, RADIUS, GENERATOR = 23, 11, 3, 0b110001110101  # the perfect binary Golay code [23, 12]
@@ -194,7 +194,7 @@ def simhash_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     joined = parts.join(classes, parts["node"] == classes["f0"]).select("node", "component", "first")
     smallest = joined.groupBy("component").agg(F.min("first").alias("least"))
     merged = joined.join(smallest, "component").select(F.col("node").alias("f0"), "least")
-    known = classes.join(merged, "f0", "left").select("f0", F.coalesce("least", "first").alias("component_id"))
+    known = stage(classes.join(merged, "f0", "left").select("f0", F.coalesce("least", "first").alias("component_id")), "known")
     return rows.join(known, "f0").select(id, F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -520,8 +520,8 @@ def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text"
     has one; an empty table gives no rows; columns are kept as they are.
     """
     names = word_names(WIDE)
-    text_hash = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    given = docs.select(F.col(id).alias("__id"), text_hash.alias("__text"), F.col(text).alias("__words"))
+    text_hash_of = lambda c: F.xxhash64(F.coalesce(c, F.lit("")))
+    given = docs.select(F.col(id).alias("__id"), text_hash_of(F.col(text)).alias("__text"), F.col(text).alias("__words"))
     first = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__text").alias("text")))
     classes = set_prints(given, "__words", shingle).groupBy("s0", "s1", "size", *names).agg(first.alias("of"))
     classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
@@ -548,6 +548,6 @@ def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text"
 
     keep = joined(short.unionByName(others)).groupBy("part").agg(F.min("of").alias("k"))
     keep = keep.select(F.col("k.id").alias("__keep"), F.col("k.text").alias("__text"))
-    kept = docs.withColumn("__text", text_hash)
+    kept = pack(docs, id).withColumn("__text", text_hash_of(F.col(id if text == id else f"{REST}.`{text}`")))
     kept = kept.join(keep, (kept["__text"] == keep["__text"]) & kept[id].eqNullSafe(keep["__keep"]), "left_semi")
-    return kept.dropDuplicates([id, "__text"]).drop("__text")
+    return unpack(kept.dropDuplicates([id, "__text"]), docs.columns)
