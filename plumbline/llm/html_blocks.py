@@ -6,8 +6,8 @@ import re
 from dataclasses import dataclass
 from html import unescape
 
-TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z))""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
+TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*"|'[^']*')|=)*+)>|(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z))""", re.S)
+ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
 TOKEN = re.compile(r"[a-z]+")
 # Elements whose content is not text of the page.
 HIDDEN = frozenset("script style template noscript iframe".split())

@@ -17,6 +17,12 @@ SAMPLE = 160  # pages of the table that are labelled for training
 FEATURES = 1 << 15
 ROUNDS = 150
 PENALTY = 0.02
+PROSE = 60  # characters of a block that counts as prose where the markup does not tell
+STOCK = (
+    "The harbour was quiet in the morning, and the first boats came back with little to show for the night.",
+    "Nobody in the village could remember a winter in which the lake had stayed open for so long.",
+    "Two of the engines had been repaired by then, and the third was to follow before the end of the month.",
+)
 
 # Words of side regions, looked for in the whole text in lower case.
 CUES = {
@@ -198,25 +204,34 @@ def fit(pages: list[list[Block]], targets: list[list[int]], rounds: int = ROUNDS
 def labelled_pages(htmls: list[str | None], seed: int = 11) -> tuple[list[list[Block]], list[list[int]]]:
     """Training chains: each page labelled by its structure, and four pages of other layouts made from its texts.
 
-    Real markup teaches what its article looks like; the made pages have other containers and every kind of side
+    A page whose markup names no article gives its prose to made pages only, and without any prose a few stock sentences
+    are used, so there is always something to fit. Real markup teaches what its article looks like; the made pages have other containers and every kind of side
     region (menus, notices, adverts, forms, comments), labelled by construction, so that regions are told by elements
     and names as well as by text.
     """
     rng = random.Random(seed)
     pages, targets = [], []
     parsed = [blocks(h) for h in htmls]
-    spare = [b.text for p in parsed for b in p if len(b.text) > 3] or ["about", "home"]
-    for p in parsed:
-        y = [structural_label(b) for b in p]
-        if not any(y):
-            continue
-        pages.append(p)
-        targets.append(y)
-        main = [b.text for b, on in zip(p, y) if on]
+    prose = [[] if any(map(structural_label, p)) else [b.text for b in p if len(b.text) >= PROSE and 2 * b.linked < len(b.text)] for p in parsed]
+    told = {t for texts in prose for t in texts}
+    spare = [b.text for p in parsed for b in p if len(b.text) > 3 and b.text not in told] or ["about", "home"]
+
+    def make(main: list[str]) -> None:
         for _ in range(4):
             made = blocks(varied_page(main, rng.sample(spare, min(12, len(spare))), rng))
             pages.append(made)
             targets.append([structural_label(b) for b in made])
+
+    for p, texts in zip(parsed, prose):
+        y = [structural_label(b) for b in p]
+        if any(y):
+            pages.append(p)
+            targets.append(y)
+            make([b.text for b, on in zip(p, y) if on])
+        elif texts:
+            make(texts)
+    if not pages:
+        make(list(STOCK))
     return pages, targets
 
 

@@ -90,3 +90,18 @@ def test_edge_rows(spark, model):
     assert [tuple(r) for r in html_crf.extract_main_text(df, model).select("text", "n_chars").collect()] == [("", 0)] * 4
     assert html_crf.extract_main_text(df.limit(0), model).collect() == []
     assert html_crf.train(df.limit(0)).labels(blocks("<p>a")) in ([0], [1])
+
+
+def test_quotes_inside_unquoted_values():
+    page = "<article><p title=it's>One text here</p><p>Second</p><p>don't two > three</p><p title = 'a > b' class=\"x > y\">Fourth</p><p a='>Fifth</p></article>"
+    assert [b.text for b in blocks(page)][:4] == ["One text here", "Second", "don't two > three", "Fourth"]
+    assert blocks("<div class=it's-main><p>x")[0].names >= {"main"}
+
+
+@pytest.mark.parametrize("wrap", ["div class=content", "div id=story", "td"])
+def test_tables_without_named_articles(spark, wrap):
+    prose = ["The water rose again during the night and reached the doors of the old mill.", "By noon the road to the north had been opened for cars, but not for trucks."]
+    html = f"<body><div class=menu><a href=/>Home</a> <a href=/x>News</a></div><{wrap}>" + "".join(f"<p>{p}</p>" for p in prose) + f"</{wrap.split()[0]}><footer>© 2024</footer></body>"
+    df = spark.createDataFrame([(i, html) for i in range(20)], "page_id long, html string")
+    out = html_crf.extract_main_text(df, html_crf.train(df)).collect()
+    assert all(r.text == "\n\n".join(prose) for r in out)
