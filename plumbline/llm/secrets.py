@@ -17,9 +17,9 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # a run is taken whole, so shorter runs fail
 
 # Parts that mean nothing alone; each is reported only near its complements.
 WEAK = {
-    "id": re.compile(r"""\b(?:user(?:name)?|login|client_?id|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,64})""", re.I | re.A),
+    "id": re.compile(r"""\b(?:user(?:name)?|login|client_?id|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.I | re.A),
     "key": re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9a-z+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])"),
-    "endpoint": re.compile(r"\b(?:https?|ftp|jdbc:[a-z]{2,12}|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9.-]{3,253}(?::[0-9]{1,5})?", re.A),
+    "endpoint": re.compile(r"\b(?:https?|ftp|jdbc:[a-z]{2,}|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9.-]{3,}(?::[0-9]+)?", re.A),
 }
 # What completes a part: base findings count as identifiers (access) and secrets (assign, hex).
 IDENTIFIERS, SECRETS, ENDPOINTS = ("access", "id"), ("assign", "hex", "key"), ("endpoint",)

@@ -83,6 +83,16 @@ def test_long_loose_secret():
     assert time.time() - began < 5
 
 
+@pytest.mark.parametrize("n", [3, 63, 64, 65, 254, 500])
+def test_long_weak_parts_end_where_they_end(n):
+    from plumbline.llm.secrets import base_spans, linked_spans
+
+    name, host, secret = "u" * n, "h" * n + ".example.org", "password=hunter2hunter2"
+    text = f"login: {name} {secret} https://{host}:{'9' * min(n, 31)}/x"
+    found = {k: text[s:e] for s, k, e in linked_spans(text, base_spans(text), 5000)}
+    assert found == {"id": f"login: {name}", "endpoint": f"https://{host}:{'9' * min(n, 31)}"}
+
+
 def test_interval_join_equals_all_pairs():
     import numpy as np
 
