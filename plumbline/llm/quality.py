@@ -224,7 +224,8 @@ def classify(
         z = TextModel(*sent.value).logits([t or "" for t in batch.column(text).to_pylist()])
         return {"__zq": pa.array(z[:, 0], pa.float64()), "__zt": pa.array(z[:, 1], pa.float64())}
 
-    scored = map_rows(packed, "__zq double, __zt double", score)
+    # Written once, since sites and rows both need the scores.
+    scored = stage(map_rows(packed, "__zq double, __zt double", score), "scored")
     sigmoid = lambda z: 1 / (1 + F.exp(-z))
     sites = site_posteriors(scored.select(F.col("__host").alias("host"), F.col("__path").alias("path"), sigmoid(F.col("__zq")).alias("q"), sigmoid(F.col("__zt")).alias("t")))
     spread = sites.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
