@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline.functions.numbers import half_up
 from plumbline.functions.text import trimmed
-from plumbline.operators.columns import numeric_columns, text_columns, time_columns
+from plumbline.operators.columns import numeric_columns, quoted, text_columns, time_columns
 from plumbline.operators.distinct import duplicate_rows
-from plumbline.operators.distribution import ROWS, of_column, read_values
+from plumbline.operators.distribution import FEW_VALUES, ROWS, distinguished, hashed_distinct, of_column, read_cells, read_values, wide_columns
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.session import stage
 
@@ -103,14 +103,18 @@ def health_score() -> Column:
     return F.when(F.col("total_rows") == 0, F.lit(0.0)).otherwise(bounded)
 
 
-def audit(df: DataFrame) -> Audit:
+def audit(df: DataFrame, bound: int = FEW_VALUES) -> Audit:
     """Audit all rows of ``df``.
 
-    One scan builds the value distribution, which is staged; types, missing and distinct counts,
-    casing and outliers come from it. A second scan, over whole rows, counts duplicates.
+    A sketch scan parts columns of few values from those of more than ``bound``. The former become a staged
+    value distribution; types, missing and distinct counts, casing and outliers come from it. The latter are
+    parsed once, row by row, and told apart by hashes. Last,
+    duplicates are counted over whole rows.
     """
-    values = stage(read_values(df), "values")
-    per_column = values.groupBy("column").agg(
+    wide = wide_columns(df, bound)
+    many = df.select(*[quoted(c) for c in wide])
+    few = stage(read_values(df.select(*[quoted(c) for c in df.columns if c not in wide])), "values")
+    tallies = lambda values: values.groupBy("column").agg(
         F.sum("count").alias("present"),
         F.count(F.lit(1)).alias("distinct"),
         F.sum(F.when(F.col("token"), F.col("count")).otherwise(0)).alias("tokens"),
@@ -118,6 +122,11 @@ def audit(df: DataFrame) -> Audit:
         F.count("number").alias("number_rows"),
         F.sum(F.when(F.col("time").isNotNull(), F.col("count")).otherwise(0)).alias("times"),
     )
+    per_column = tallies(few)
+    if wide:
+        # Parsed once, without the texts; the numbers are read again for the quantiles.
+        cells = stage(read_cells(many).filter(F.col("column") != ROWS).select("column", "count", "number", "time", "token"), "cells")
+        per_column = per_column.unionByName(tallies(cells))
     seen = {r["column"]: r for r in per_column.collect()}
     if ROWS not in seen:
         return Audit(df.sparkSession, 0, len(df.columns), 0, [])
@@ -137,15 +146,20 @@ def audit(df: DataFrame) -> Audit:
 
     measured = [c for c in df.columns if detected[c] in ("numeric", "dirty_numeric")]
     known = {c: (seen[c]["numbers"], seen[c]["number_rows"]) for c in measured}
-    outliers = tukey_outliers(values, {c: of_column(c) for c in measured}, weight=F.col("count"), known=known)
+    outliers = tukey_outliers(few, {c: of_column(c) for c in measured if c not in wide}, weight=F.col("count"), known=known)
+    by_row = [c for c in measured if c in wide]
+    if by_row:
+        outliers |= tukey_outliers(cells, {c: of_column(c) for c in by_row}, weight=F.col("count"), known=known)
     strings = [c for c in texts if detected[c] == "string" and c in seen]
-    folded = folded_distinct(values, strings)
+    folded = folded_distinct(few, [c for c in strings if c not in wide])
+    exact = hashed_distinct(many, {("all", c): distinguished(df.schema[c]) for c in wide} | {("folded", c): F.lower(trimmed(quoted(c))) for c in strings if c in wide})
+    folded |= {c: n for (kind, c), n in exact.items() if kind == "folded"}
 
     columns = []
     for f in df.schema:
         c = f.name
         present, tokens = (seen[c]["present"], seen[c]["tokens"]) if c in seen else (0, 0)
-        distinct = seen[c]["distinct"] if c in seen else 0
+        distinct = exact["all", c] if c in wide else seen[c]["distinct"] if c in seen else 0
         missing = min(rows, rows - present + tokens)
         columns.append(
             ColumnAudit(

@@ -14,7 +14,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from plumbline.functions.text import collapse_spaces, title_case, to_number, to_timestamp, without_null_tokens
 from plumbline.operators.audit import count_outside, fences
 from plumbline.operators.columns import DERIVED_SUFFIXES, is_key_name, number, numeric_columns, quoted, text_columns
-from plumbline.operators.distribution import ROWS, number_counts, of_column, read_values
+from plumbline.operators.distinct import part_suspects
+from plumbline.operators.distribution import (
+    FEW_VALUES, ROWS, Values, hashed_distinct, hashed_modes, number_counts, of_column, read_cells, read_values, wide_columns,
+)
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.session import stage
 
@@ -94,11 +97,11 @@ class CleaningPlan:
                 out.append(normalize_text(value, c in self.titles).alias(c))
             else:
                 out.append(value.alias(c))
-        if self.composite:
+        if self.composite in df.columns:
             out += split_composite(without_null_tokens(quoted(self.composite)), self.composite)
         typed = df.select(*out)
         if self.config.extract_temporal_features:
-            typed = typed.withColumns({n: e for c in self.dates for n, e in temporal_features(c).items()})
+            typed = typed.withColumns({n: e for c in self.dates if c in df.columns for n, e in temporal_features(c).items()})
         return typed
 
     def log_frame(self, spark) -> DataFrame:
@@ -107,8 +110,11 @@ class CleaningPlan:
 
 
 def deduplicate(df: DataFrame) -> DataFrame:
-    """One row of each group of equal rows."""
-    return df.dropDuplicates()
+    """One row of each group of equal rows; only rows whose hash occurs twice are shuffled."""
+    alone, suspects = part_suspects(df)
+    if suspects is None:
+        return alone
+    return suspects.dropDuplicates() if alone is None else alone.unionByName(suspects.dropDuplicates())
 
 
 def standardize_nulls(df: DataFrame) -> DataFrame:
@@ -197,17 +203,31 @@ class Outliers:
     present: dict[str, int]
 
 
-def find_outliers(values: DataFrame, columns: list[str], strategy: str = "winsorize") -> Outliers:
-    """Outliers of the numeric ``columns`` of a value distribution."""
+def _by_form(values: Values, columns: list[str]) -> list[tuple[DataFrame, dict[str, Column], Column | None]]:
+    """The numeric ``columns`` as expressions over the distribution (with its weight) and over the rows."""
+    few = {c: of_column(c) for c in columns if c not in values.numbers}
+    many = {c: quoted(c) for c in columns if c in values.numbers}
+    return [(values.few, few, F.col("count")), (values.many, many, None)]
+
+
+def find_outliers(values: DataFrame | Values, columns: list[str], strategy: str = "winsorize") -> Outliers:
+    """Outliers of the numeric ``columns`` of a table's values."""
+    values = Values.of(values)
     counted = number_counts(values)
-    numbers, weight = {c: of_column(c) for c in columns if c in counted}, F.col("count")
-    quantiles = exact_quantiles(values, numbers, [0.01, 0.25, 0.5, 0.75, 0.99], weight=weight, known=counted)
+    forms = _by_form(values, [c for c in columns if c in counted])
+    quantiles = {}
+    for frame, numbers, weight in forms:
+        quantiles |= exact_quantiles(frame, numbers, [0.01, 0.25, 0.5, 0.75, 0.99], weight=weight, known=counted)
     bounds = {}
     for c in outlier_scope(counted, columns):
         p01, q1, _, q3, p99 = quantiles[c].values
         if quantiles[c].count >= 10 and q3 > q1:
             bounds[c] = fences(q1, q3, FENCE)
-    counts = {c: n for c, n in count_outside(values, numbers, bounds, weight).items() if n}
+    counts = {}
+    for frame, numbers, weight in forms:
+        found = count_outside(frame, numbers, {c: b for c, b in bounds.items() if c in numbers}, weight)
+        counts |= {c: n for c, n in found.items() if n}
+    counts = {c: counts[c] for c in bounds if c in counts}
     clips = {}
     if strategy == "winsorize":
         clips = {c: (quantiles[c].values[0], quantiles[c].values[4]) for c in counts}
@@ -218,7 +238,7 @@ def find_outliers(values: DataFrame, columns: list[str], strategy: str = "winsor
 
 
 def numeric_fills(
-    values: DataFrame, columns: list[str], rows: int, strategy: str = "median", outliers: Outliers | None = None
+    values: DataFrame | Values, columns: list[str], rows: int, strategy: str = "median", outliers: Outliers | None = None
 ) -> tuple[dict[str, float], dict[str, int]]:
     """Fill values of the numeric columns that may be imputed, and how many values each fills.
 
@@ -226,6 +246,7 @@ def numeric_fills(
     holds an optional amount, and left alone otherwise. After outlier treatment, its findings save
     counting again, and means are those of the clipped values.
     """
+    values = Values.of(values)
     names = [c for c in columns if not is_key_name(c)]
     if outliers is None:
         present = {c: n for c, (n, _) in number_counts(values).items()}
@@ -242,34 +263,47 @@ def numeric_fills(
     elif outliers is not None:
         fills |= {c: outliers.medians[c] for c in dense}
     else:
-        found = exact_quantiles(values, {c: of_column(c) for c in dense}, [0.5], weight=F.col("count"))
-        fills |= {c: q.values[0] for c, q in found.items()}
+        for frame, numbers, weight in _by_form(values, dense):
+            fills |= {c: q.values[0] for c, q in exact_quantiles(frame, numbers, [0.5], weight=weight).items()}
+        fills = {c: fills[c] for c in [*(c for c in fills if c not in dense), *dense]}
     return fills, {c: missing[c] for c in fills}
 
 
-def _means(values: DataFrame, columns: list[str], clips: dict[str, tuple[float, float]]) -> dict[str, float]:
+def _means(values: Values, columns: list[str], clips: dict[str, tuple[float, float]]) -> dict[str, float]:
     """Means rounded to 2, of the clipped values where a column is clipped."""
-    if not columns:
-        return {}
-    weight, means = F.col("count"), []
-    for i, c in enumerate(columns):
-        v = _clip(of_column(c), *clips[c]) if c in clips else of_column(c)
-        means.append(F.round(F.sum(v * weight) / F.sum(F.when(v.isNotNull(), weight)), 2).alias(f"m{i}"))
-    row = values.agg(*means).first()
-    return {c: row[f"m{i}"] for i, c in enumerate(columns)}
+    found = {}
+    for frame, numbers, weight in _by_form(values, columns):
+        weight, means = F.lit(1) if weight is None else weight, []
+        for i, (c, v) in enumerate(numbers.items()):
+            if c in clips:
+                v = F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(clips[c][0])), F.lit(clips[c][1])))
+            means.append(F.round(F.sum(v * weight) / F.sum(F.when(v.isNotNull(), weight)), 2).alias(f"m{i}"))
+        if means:
+            row = frame.agg(*means).first()
+            found |= {c: row[f"m{i}"] for i, c in enumerate(numbers)}
+    return {c: found[c] for c in columns}
 
 
 def categorical_fills(
-    values: DataFrame, columns: list[str], rows: int, strategy: str = "mode"
+    values: DataFrame | Values, columns: list[str], rows: int, strategy: str = "mode"
 ) -> tuple[dict[str, str], dict[str, int]]:
     """Fill values of the text columns with missing values, and how many values each fills.
 
     The mode is the smallest of the most frequent values; ``values`` may list a text several times.
     """
+    values = Values.of(values)
     names = [c for c in columns if not is_key_name(c)]
     if not names:
         return {}, {}
-    counts = values.filter(F.col("column").isin(*names) & F.col("text").isNotNull())
+    by_row = [c for c in names if c in values.texts]
+    if by_row:
+        row = values.prose.agg(*[F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(by_row)]).first()
+        gaps = {c: rows - row[f"n{i}"] for i, c in enumerate(by_row) if row[f"n{i}"] < rows}
+        modes = hashed_modes(values.prose, list(gaps)) if strategy == "mode" else {}
+        fills, filled = categorical_fills(values.few, [c for c in names if c not in by_row], rows, strategy)
+        fills, filled = fills | {c: modes.get(c, "Unknown") for c in gaps}, filled | gaps
+        return {c: fills[c] for c in names if c in fills}, {c: filled[c] for c in names if c in filled}
+    counts = values.few.filter(F.col("column").isin(*names) & F.col("text").isNotNull())
     counts = counts.groupBy("column", "text").agg(F.sum("count").alias("n"))
     found = counts.groupBy("column").agg(
         F.sum("n").alias("present"), F.min(F.struct(-F.col("n"), F.col("text").alias("text"))).alias("best")
@@ -291,6 +325,18 @@ def category_like(values: DataFrame, columns: list[str], rows: int) -> list[str]
     return [c for c in columns if counts.get(c, 0) < CATEGORY_SHARE * rows]
 
 
+def category_like_by_row(df: DataFrame, columns: list[str], rows: int) -> list[str]:
+    """``category_like`` for columns of many values: by estimate where it is far off half the rows, else by hash."""
+    if not columns:
+        return []
+    spaced = {c: collapse_spaces(without_null_tokens(quoted(c))) for c in columns}
+    row = df.agg(*[F.approx_count_distinct(v, 0.02).alias(f"d{i}") for i, v in enumerate(spaced.values())]).first()
+    estimate = {c: row[f"d{i}"] / max(1.0, CATEGORY_SHARE * rows) for i, c in enumerate(columns)}
+    close = {c: spaced[c] for c in columns if 0.8 < estimate[c] < 1.25}  # ten standard errors on either side
+    exact = hashed_distinct(df, close)
+    return [c for c in columns if (exact[c] < CATEGORY_SHARE * rows if c in close else estimate[c] < 1)]
+
+
 def _cleaned_values(values: DataFrame, df: DataFrame, plan: CleaningPlan) -> DataFrame:
     """The distribution of the cleaned columns (before outliers and imputation).
 
@@ -333,20 +379,22 @@ def _cleaned_values(values: DataFrame, df: DataFrame, plan: CleaningPlan) -> Dat
     )
 
 
-def fit(df: DataFrame, config: CleaningConfig | None = None) -> tuple[CleaningPlan, DataFrame]:
+def fit(df: DataFrame, config: CleaningConfig | None = None, bound: int = FEW_VALUES) -> tuple[CleaningPlan, DataFrame]:
     """Decide how to clean ``df``; returns the plan and the (deduplicated) rows to apply it to.
 
-    Duplicates go first, by one shuffle of whole rows whose result is staged. One scan of that result
-    gives the value distribution, and every decision follows from the distribution.
+    Duplicates go first; the result is staged. Columns of at most ``bound`` values (as estimated) then enter the value
+    distribution, the others are measured row by row, and every decision follows from the two.
     """
     config = config or CleaningConfig()
     plan = CleaningPlan(config, text_columns(df))
     base = stage(deduplicate(df), "deduplicated") if config.remove_duplicates else df
 
-    values = stage(read_values(base), "values")
+    wide = wide_columns(base, bound)
+    thin, thick = (base.select(*[quoted(c) for c in base.columns if (c in wide) == is_wide]) for is_wide in (False, True))
+    values = stage(read_values(thin), "values")
     filled = ~F.col("token")
     tally = lambda condition: F.sum(F.when(condition, F.col("count")).otherwise(0))
-    per_column = values.groupBy("column").agg(
+    tallies = lambda cells: cells.groupBy("column").agg(
         F.sum("count").alias("all"),
         tally(F.col("token")).alias("tokens"),
         tally(filled).alias("present"),
@@ -354,6 +402,9 @@ def fit(df: DataFrame, config: CleaningConfig | None = None) -> tuple[CleaningPl
         tally(filled & F.col("number").isNotNull()).alias("number"),
         tally(filled & F.col("time").isNotNull()).alias("time"),
     )
+    per_column = tallies(values)
+    if by_row := [c for c in thick.columns if c in plan.texts]:
+        per_column = per_column.unionByName(tallies(read_cells(thick.select(*[quoted(c) for c in by_row]))).filter(F.col("column") != ROWS))
     seen = {r["column"]: r for r in per_column.collect()}
     rows = seen[ROWS]["all"] if ROWS in seen else 0
     if config.remove_duplicates and (removed := df.count() - rows):
@@ -377,13 +428,19 @@ def fit(df: DataFrame, config: CleaningConfig | None = None) -> tuple[CleaningPl
             plan.log.append(LogEntry("date", c, "text converted to timestamps", seen[c]["time"]))
     if config.standardize_text:
         rest = [c for c in plan.texts if c != plan.composite and c not in plan.numbers and c not in plan.dates]
-        plan.titles = [c for c in category_like(values, rest, rows) if not is_key_name(c)]  # keys must go on matching other tables
+        named = [c for c in rest if not is_key_name(c)]  # keys must go on matching other tables
+        likes = category_like(values, [c for c in named if c not in wide], rows) + category_like_by_row(thick, [c for c in named if c in wide], rows)
+        plan.titles = [c for c in named if c in likes]
         for c in rest:
             detail = "whitespace collapsed, title case" if c in plan.titles else "whitespace collapsed"
             plan.log.append(LogEntry("text", c, detail, None))
 
-    cleaned = stage(_cleaned_values(values, base, plan), "cleaned-values")
     out = plan.typed(base)
+    by_row = plan.typed(thick)
+    kept = [c for c in by_row.columns if c in numeric_columns(by_row)]
+    texts = [c for c in text_columns(by_row) if not is_key_name(c)] if config.impute_missing else []
+    many = stage(by_row.select(*[number(by_row, c).alias(c) for c in kept]), "cleaned-rows") if kept else None
+    cleaned = Values(stage(_cleaned_values(values, thin, plan), "cleaned-values"), many, kept, by_row.select(*[quoted(c) for c in texts]), texts)
     # A missing date is no weekend, so the weekend flag has no gaps and is outside the outlier scope.
     numbers = [c for c in numeric_columns(out) if not c.endswith("_IsWeekend") or c in df.columns]
     found = None

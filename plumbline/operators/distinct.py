@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from plumbline.session import stage
+
+# Hashes of repeated rows that are sent to all tasks: 8 MB.
+SUSPECTS = 1 << 20
 # Distinct aggregates in one query: each adds one copy of a row before its partial aggregation.
 _BATCH = 16
 
@@ -34,7 +38,35 @@ def small_cardinalities(df: DataFrame, values: dict[str, Column], bound: int) ->
     return {n: min(exact.get(n, bound + 1), bound + 1) for n in values}
 
 
+def row_hash(df: DataFrame) -> Column:
+    return F.xxhash64(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
+def part_suspects(df: DataFrame, bound: int = SUSPECTS) -> tuple[DataFrame | None, DataFrame | None]:
+    """Rows that certainly equal no other, and rows that may: those whose 64-bit hash occurs more than once.
+
+    Only hashes are shuffled for this, 8 bytes a row. The repeated ones are counted and sent to all tasks if they are at
+    most ``bound``, so that unique rows stay where they are. Beyond that many repeats, which would have to be
+    shuffled anyway, all rows are suspects and there is no first part. A false suspect costs its shuffle, nothing else.
+    """
+    if not df.columns:
+        return None, df
+    hashed = df.select(row_hash(df).alias("hash"))
+    repeated = stage(hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"), "repeated")
+    found = repeated.count()
+    if found > bound:
+        return None, df
+    if not found:
+        return df, None
+    small = F.broadcast(repeated)
+    same = row_hash(df) == repeated["hash"]
+    return df.join(small, same, "left_anti"), df.join(small, same, "left_semi")
+
+
 def duplicate_rows(df: DataFrame) -> int:
-    """Rows beyond the first of each group of equal rows."""
-    row = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") - 1).alias("extra")).first()
+    """Rows beyond the first of each group of equal rows; whole rows are compared only where their hashes repeat."""
+    _, suspects = part_suspects(df)
+    if suspects is None:
+        return 0
+    row = suspects.groupBy(*suspects.columns).agg(F.count(F.lit(1)).alias("__n")).agg(F.sum(F.col("__n") - 1).alias("extra")).first()
     return row["extra"] or 0

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import cleaning as cl
 from plumbline.operators.audit import alerts, audit, compare_audits, tukey_outliers
-from plumbline.operators.distribution import read_values
+from plumbline.operators.distinct import duplicate_rows, part_suspects
+from plumbline.operators.distribution import hashed_distinct, hashed_modes, read_values, wide_columns
 
 SCHEMA = "order_id string, city string, price string, when string, reading string, qty int, refund_amount double, note string"
 
@@ -43,6 +44,38 @@ def test_audit_ignores_partitioning(messy):
     assert audit(messy.repartition(7)).columns == audit(messy.coalesce(1)).columns
 
 
+@pytest.mark.parametrize("bound", [0, 12])
+def test_columns_by_row_give_the_same_figures(messy, bound):
+    """Whatever columns stay out of the value distribution, audit, decisions and log are the same."""
+    assert audit(messy, bound).columns == audit(messy).columns
+    for config in (cl.CleaningConfig(), cl.CleaningConfig(numeric_impute_strategy="mean", outlier_strategy="clip_iqr")):
+        one, _ = cl.fit(messy, config)
+        two, base = cl.fit(messy, config, bound)
+        assert (one.composite, one.numbers, one.dates, one.titles, one.log) == (two.composite, two.numbers, two.dates, two.titles, two.log)
+        assert one.clips.keys() == two.clips.keys() and all(one.clips[c] == pytest.approx(two.clips[c]) for c in one.clips) and one.fills == two.fills
+        assert two.apply(base).count() == 40
+
+
+def test_hashed_figures(spark):
+    df = spark.createDataFrame([("b", 1.0), ("a", 1.0), ("b", float("nan")), ("a", None), (None, -0.0), ("c", 0.0)], "t string, v double")
+    assert hashed_distinct(df, {"t": F.col("t"), "v": F.col("v")}) == {"t": 3, "v": 3}
+    assert hashed_modes(df, ["t"]) == {"t": "a"}
+    assert hashed_modes(df.select("t").distinct(), ["t"]) == {"t": "a"} and hashed_modes(df.limit(0), ["t"]) == {}
+    assert wide_columns(df, 2).keys() == {"t"} and wide_columns(df, 9) == {}  # numbers repeat
+
+
+def test_suspects(spark):
+    rows = [(i % 50, f"r{i % 50}", None if i % 7 else 1.0) for i in range(200)] + [(900 + i, None, 0.0) for i in range(30)] + [(None, None, None)] * 3
+    df = spark.createDataFrame(rows, "k int, __hash string, v double").repartition(4)
+    want = sorted({repr(r) for r in df.collect()})
+    for bound in (0, 1 << 20):
+        alone, suspects = part_suspects(df, bound)
+        assert (alone is None) == (bound == 0)
+        assert bound == 0 or alone.count() == sum(rows.count(r) == 1 for r in rows)
+    assert sorted(repr(r) for r in cl.deduplicate(df).collect()) == want and duplicate_rows(df) == len(rows) - len(want)
+    assert duplicate_rows(df.filter("k >= 900")) == 0 and cl.deduplicate(df.limit(0)).count() == 0
+
+
 def test_audit_of_empty_table(spark):
     row = audit(spark.createDataFrame([], "a int, b string")).table_frame().first()
     assert row["health_score"] == 0 and row["total_rows"] == 0
