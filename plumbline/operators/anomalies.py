@@ -30,13 +30,16 @@ _TREE_SCHEMA = "tree int, feature array<int>, split array<double>, length array<
 def tree_samples(df: DataFrame, key: list[str], features: list[str], rows: int) -> DataFrame:
     """``tree`` and features of up to 256 rows per tree.
 
-    Every row joins every tree with the same probability, 1,024 in the number of rows; of each tree's rows those with the
-    smallest hashes are kept. Draws depend on the hashed key alone, so they repeat exactly and ignore partitioning. The
-    trees of a row are picked from an array before any row is made, so rows without one cost a hash per tree.
+    One hash of the key picks the rows that any tree may use, about ``TREES * _DRAWS`` of them, and each of these joins
+    every tree with the same probability, so that a tree draws ``_DRAWS`` rows on average; of each tree's rows those with the
+    smallest hashes are kept. Draws depend on the hashed key alone, so they repeat exactly and ignore partitioning, and a
+    row outside the pool costs one hash.
     """
+    pool = TREES * _DRAWS
+    drawable = df.filter(F.pmod(F.xxhash64(*key, F.lit(-1)), F.lit(rows)) < pool)
     draws = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(*key, t).alias("draw")))
-    joins = F.filter(draws, lambda d: F.pmod(d["draw"], F.lit(rows)) < _DRAWS)
-    drawn = df.select(*dict.fromkeys([*key, *features]), F.inline(joins))
+    joins = F.filter(draws, lambda d: F.pmod(d["draw"], F.lit(min(rows, pool))) < _DRAWS)
+    drawn = drawable.select(*dict.fromkeys([*key, *features]), F.inline(joins))
     first = Window.partitionBy("tree").orderBy("draw", *key)
     return drawn.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= TREE_ROWS).select(
         "tree", "place", *features

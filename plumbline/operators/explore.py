@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
 
 from plumbline.functions.text import coerce_number, display
 from plumbline.operators.columns import number, quoted
 from plumbline.operators.quantiles import exact_quantiles, grouped_median
 
 TOP_GROUPS, TREND_POINTS, BREAKDOWN, SCATTER_POINTS = 16, 15, 6, 300
+# Rows that a task may hold to find a page.
+IN_TASK = 100_000
 
 
 def _is_number(value) -> bool:
@@ -80,22 +82,49 @@ def sort_rows(df: DataFrame, by: str, ascending: bool = True, tie_break: list[st
 
 def page(
     df: DataFrame, number_: int = 1, size: int = 15, sort_by: str | None = None, ascending: bool = True,
-    tie_break: list[str] | None = None,
+    tie_break: list[str] | None = None, in_task: int = IN_TASK,
 ) -> DataFrame:
     """One page of rows in a stated order; ties are broken by all columns unless ``tie_break`` is given.
 
-    Spark keeps offset + limit rows per task to find a page, so the rows before it are skipped by exact
-    ranks first, as far as the sort columns are numbers or times.
+    Spark keeps offset + limit rows per task to find a page. Where these are more than ``IN_TASK``, the rows before the page
+    are skipped by exact ranks first, as far as the sort columns are numbers or times. To go through all pages,
+    ``page_after`` needs neither.
     """
     if number_ < 1 or size < 1:
         raise ValueError("page number and size start at 1")
     tie_break = list(df.columns) if tie_break is None else tie_break
     sort_by, offset = sort_by or tie_break[0], (number_ - 1) * size
-    if offset:
+    if offset + size > in_task:
         df, offset = _skip(df, [(sort_by, ascending), *[(c, True) for c in tie_break if c != sort_by]], offset)
     return sort_rows(df, sort_by, ascending, tie_break).offset(offset).limit(size)
 
 
+def page_after(
+    df: DataFrame, after: Row | None, size: int = 15, sort_by: str | None = None, ascending: bool = True,
+    tie_break: list[str] | None = None,
+) -> DataFrame:
+    """The page that follows the row ``after`` (none: the first page), in the order of ``page``.
+
+    A filter on the sort key of the last row seen, for columns of any type and missing values, so every page costs the
+    same and takes ``size`` rows per task. Rows that equal the last one in all sort columns count as seen.
+    """
+    tie_break = list(df.columns) if tie_break is None else tie_break
+    sort_by = sort_by or tie_break[0]
+    if after is not None:
+        keys = [sort_by, *[c for c in tie_break if c != sort_by]]
+        same, later = F.lit(True), F.lit(False)
+        for i, name in enumerate(keys):
+            c, value = quoted(name), F.lit(after[name]).cast(df.schema[name].dataType)
+            if i:  # further columns ascend, missing values first
+                beyond = c.isNotNull() if after[name] is None else c > value
+            else:
+                beyond = F.lit(False) if after[name] is None else c.isNull() | (c > value if ascending else c < value)
+            later = later | (same & F.coalesce(beyond, F.lit(False)))
+            same = same & c.eqNullSafe(value)
+        df = df.filter(later)
+    return sort_rows(df, sort_by, ascending, tie_break).limit(size)
+
+
 def _skip(df: DataFrame, keys: list[tuple[str, bool]], offset: int) -> tuple[DataFrame, int]:
     """``df`` without rows that precede the offset, and the offset that remains.
 

@@ -15,44 +15,34 @@ def _row(frame: DataFrame, kind: str, badge: str, headline, detail) -> DataFrame
 
 def overview(df: DataFrame) -> DataFrame:
     counted = df.agg(F.count(F.lit(1)).alias("n"))
-    headline = F.concat(
-        F.lit("Analyzed "), F.format_number("n", 0), F.lit(f" records across {len(df.columns)} columns.")
-    )
-    return _row(counted, "overview", "Dataset Scope", headline, F.lit("Formats standardized, gaps filled, duplicates removed."))
+    headline = F.concat(F.lit("Rows: "), F.col("n").cast("string"), F.lit(f", columns: {len(df.columns)}"))
+    return _row(counted, "overview", "Size", headline, F.lit("All figures below are over these rows."))
 
 
 def segment_insight(personas: DataFrame, silhouette: float) -> DataFrame:
-    """The largest segment by size."""
+    """Number of segments and the largest by size."""
     top = personas.agg(F.count(F.lit(1)).alias("k"), F.max_by(F.struct("name", "percentage"), F.struct("size", -F.col("cluster_id"))).alias("p"))
-    headline = F.concat(F.lit("Identified "), F.col("k").cast("string"), F.lit(f" distinct clusters (silhouette {silhouette:.3f})."))
-    detail = F.concat(F.lit("Largest segment: '"), F.col("p.name"), F.lit("' with "), F.col("p.percentage").cast("string"), F.lit("% of the rows."))
-    return _row(top, "clustering", "Segmentation Discovery", headline, detail)
+    headline = F.concat(F.lit("Segments: "), F.col("k").cast("string"), F.lit(f", silhouette {silhouette:.3f}"))
+    detail = F.concat(F.lit("Most rows ("), F.col("p.percentage").cast("string"), F.lit("%) are in "), F.col("p.name"))
+    return _row(top, "clustering", "Segments", headline, detail)
 
 
 def driver_insight(drivers: DataFrame) -> DataFrame:
     top = drivers.orderBy(F.desc("importance"), "feature").limit(1)
-    headline = F.concat(
-        F.lit("'"), F.col("feature"), F.lit("' is the strongest predictor of "), F.col("target"),
-        F.lit(" ("), F.col("importance").cast("string"), F.lit("% weight)."),
-    )
-    detail = F.concat(F.lit("Changes in "), F.col("feature"), F.lit(" go with the largest changes in "), F.col("target"), F.lit("."))
-    return _row(top, "driver", "Primary Driver", headline, detail)
+    headline = F.concat(F.col("target"), F.lit(" follows "), F.col("feature"), F.lit(" most: weight "), F.col("importance").cast("string"), F.lit("%"))
+    return _row(top, "driver", "Driver", headline, F.concat(F.lit("Weights of all features for "), F.col("target"), F.lit(" add up to 100%.")))
 
 
 def anomaly_insight(summary: DataFrame) -> DataFrame:
     headline = F.concat(
-        F.lit("Detected "), F.col("total_anomalies").cast("string"), F.lit(" anomalies ("),
-        F.col("anomaly_pct").cast("string"), F.lit("% of the rows)."),
+        F.lit("Flagged rows: "), F.col("total_anomalies").cast("string"), F.lit(", "), F.col("anomaly_pct").cast("string"), F.lit("% of all")
     )
-    return _row(summary, "anomaly", "Anomaly Alert", headline, F.lit("Flagged rows differ from the rest in several features at once."))
+    return _row(summary, "anomaly", "Outliers", headline, F.lit("Random splits part these rows from the rest soonest."))
 
 
 def trend_insight(trend: DataFrame, metric: str) -> DataFrame:
-    headline = F.concat(
-        F.lit(f"{metric} shows an overall "), F.col("direction"), F.lit(" trend ("),
-        F.col("growth_rate_pct").cast("string"), F.lit("% per period)."),
-    )
-    return _row(trend, "forecast", "Trend Projection", headline, F.lit("The projection continues the fitted line; judge it against its band."))
+    headline = F.concat(F.lit(f"{metric} goes "), F.col("direction"), F.lit(": "), F.col("growth_rate_pct").cast("string"), F.lit("% per period"))
+    return _row(trend, "forecast", "Trend", headline, F.lit("The forecast prolongs the fitted line within its band."))
 
 
 def combine(parts: list[DataFrame]) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.operators.columns import metric_columns, number, quoted
 from plumbline.session import spread, stage
@@ -20,6 +21,9 @@ FEWEST_ROWS = 15
 TRAIT_PCT = 15
 NAMED_TRAITS, KEPT_TRAITS = 2, 4
 SCATTER_POINTS = 300
+# Rows from which starting centers are drawn, most passes over all rows, and the move of a center that counts as none.
+START_ROWS = 10_000
+PASSES, STILL = 8, 1e-3
 
 
 @dataclass
@@ -51,12 +55,140 @@ def standardized(df: DataFrame, features: list[str]) -> DataFrame:
     return scaler.fit(assembled).transform(assembled).drop("raw_vector")
 
 
+def start_centers(points: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Centers spread by k-means++ over a bounded sample and settled on it."""
+    draw = np.random.default_rng(seed)
+    centers = points[draw.integers(len(points))][None]
+    while len(centers) < k:
+        away = ((points[:, None] - centers[None]) ** 2).sum(axis=2).min(axis=1)
+        total = away.sum()
+        at = draw.choice(len(points), p=away / total) if total > 0 else draw.integers(len(points))
+        centers = np.vstack([centers, points[at]])
+    for _ in range(60):
+        nearest = ((points[:, None] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)
+        moved = np.array([points[nearest == j].mean(axis=0) if (nearest == j).any() else centers[j] for j in range(k)])
+        if np.allclose(moved, centers, atol=1e-9):
+            break
+        centers = moved
+    return centers
+
+
+def _distances(x: list[Column], centers: np.ndarray) -> Column:
+    """Squared distances to all centers as an array."""
+    parts = []
+    for center in centers.tolist():
+        total = F.lit(0.0)
+        for v, c in zip(x, center):
+            total = total + (v - F.lit(c)) * (v - F.lit(c))
+        parts.append(total)
+    return F.array(*parts)
+
+
+def nearest(x: list[Column], centers: np.ndarray) -> Column:
+    """Number of the nearest center, the first of several."""
+    away = _distances(x, centers)
+    return (F.array_position(away, F.array_min(away)) - 1).cast("int")
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+
+
+def _cluster_sums(vectors: DataFrame, models: list[np.ndarray]) -> list[np.ndarray]:
+    """Per model a row per cluster: size, sum of squared norms, cost, sums of the coordinates. One scan for all models.
+
+    Every task assigns its rows by all models in Arrow batches and hands on one row per cluster.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = [np.zeros((len(m), 3 + m.shape[1])) for m in models]
+        for batch in batches:
+            x = _matrix(batch)
+            norm = (x * x).sum(axis=1)
+            for m, total in zip(models, totals):
+                away = ((x[:, None] - m[None]) ** 2).sum(axis=2)
+                own = away.argmin(axis=1)
+                columns = [np.ones(len(x)), norm, away.min(axis=1), *x.T]
+                total += np.column_stack([np.bincount(own, c, len(m)) for c in columns])
+        rows = [(i, j, list(map(float, r))) for i, t in enumerate(totals) for j, r in enumerate(t) if r[0]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.list_(pa.float64())))] if rows else
+            [pa.array([], pa.int32()), pa.array([], pa.int32()), pa.array([], pa.list_(pa.float64()))], names=["model", "cluster", "sums"])
+
+    width = 3 + models[0].shape[1]
+    parts = vectors.mapInArrow(run, "model int, cluster int, sums array<double>")
+    found = parts.groupBy("model", "cluster").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(width)])
+    sums = [np.zeros((len(m), width)) for m in models]
+    for r in found.collect():
+        sums[r["model"]][r["cluster"]] = [r[f"s{i}"] for i in range(width)]
+    return sums
+
+
+def sweep(vectors: DataFrame, sizes: list[int], restarts: int = 1) -> list[tuple[np.ndarray, float]]:
+    """Centers of the best run and mean silhouette for every number of clusters, all fitted together.
+
+    Each pass over the rows moves the centers of every model that has not settled; a last one takes all silhouettes,
+    which need only sizes, sums and squared norms of the clusters. Starting centers come from the ``START_ROWS`` rows
+    of smallest hash; where they start has no bearing on what the passes cover. Clusters are numbered by their centers.
+    """
+    sample = vectors.orderBy(F.xxhash64(*vectors.columns), *vectors.columns).limit(START_ROWS).toPandas().to_numpy(float)
+    runs = [(k, start_centers(sample, k, SEED + r)) for k in sizes for r in range(restarts)]
+    models = [centers for _, centers in runs]
+    sums = _cluster_sums(vectors, models)
+    open_ = list(range(len(models)))
+    for _ in range(PASSES):
+        still = []
+        for i in open_:
+            size = sums[i][:, :1]
+            moved = np.where(size > 0, sums[i][:, 3:] / np.maximum(size, 1), models[i])
+            if np.sqrt(((moved - models[i]) ** 2).sum(axis=1)).max() > STILL:
+                still.append(i)
+            models[i] = moved
+        open_ = still
+        if not open_:
+            break
+        for i, found in zip(open_, _cluster_sums(vectors, [models[i] for i in open_])):
+            sums[i] = found
+    best = {}
+    for i, (k, _) in enumerate(runs):
+        if k not in best or sums[i][:, 2].sum() < sums[best[k]][:, 2].sum():
+            best[k] = i
+    chosen = [models[best[k]][np.lexsort(models[best[k]].T[::-1])] for k in sizes]
+    return list(zip(chosen, silhouettes(vectors, chosen)))
+
+
+def silhouettes(vectors: DataFrame, models: list[np.ndarray]) -> list[float]:
+    """Mean silhouette (squared Euclidean) of every model, over all rows in two scans.
+
+    The mean squared distance of a row to a cluster follows from the cluster's size, sums and squared norms. A row that
+    is alone in its cluster counts 0.
+    """
+    known = list(zip(models, _cluster_sums(vectors, models)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(known))
+        for batch in batches:
+            x = _matrix(batch)
+            norm = (x * x).sum(axis=1)[:, None]
+            for i, (centers, sums) in enumerate(known):
+                size = np.maximum(sums[:, 0], 1)
+                own = ((x[:, None] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)
+                mean = np.where(sums[:, 0] > 0, norm + sums[:, 1] / size - 2 * x @ (sums[:, 3:] / size[:, None]).T, np.inf)
+                at = np.arange(len(x))
+                a = mean[at, own] * size[own] / np.maximum(size[own] - 1, 1)
+                mean[at, own] = np.inf
+                b = mean.min(axis=1)
+                widest = np.maximum(np.maximum(a, b), 1e-300)
+                total[i] += np.where((size[own] <= 1) | (widest <= 1e-12) | np.isinf(b), 0.0, (b - a) / widest).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(known)), pa.int32()), pa.array(total)], names=["model", "total"])
+
+    found = vectors.mapInArrow(run, "model int, total double").groupBy("model").agg(F.sum("total").alias("total")).collect()
+    total = {r["model"]: r["total"] for r in found}
+    return [float(total.get(i, 0.0) / max(1.0, sums[:, 0].sum())) for i, (_, sums) in enumerate(known)]
+
+
 def segment(df: DataFrame, features: list[str] | None = None, restarts: int = 1) -> Segmentation | None:
     """K-means for each k in the sweep, over all complete rows; more ``restarts`` keep the best run.
 
-    One run per k is the default: the parallel k-means++ start is stable, and each further run reads
-    the table some twenty times.
-
     The k with the highest silhouette (squared Euclidean) wins, the smaller on ties. None for fewer
     than two features or 15 complete rows.
     """
@@ -64,26 +196,18 @@ def segment(df: DataFrame, features: list[str] | None = None, restarts: int = 1)
     if len(features) < 2:
         return None
     rows = standardized(df, features)
-    # Staged once for all runs; each fit keeps its own cached copy while it iterates.
-    vectors = stage(rows.select("scaled"), "vectors")
+    scaled = vector_to_array("scaled")
+    vectors = stage(rows.select(*[scaled[i].alias(f"x{i}") for i in range(len(features))]), "vectors")
     n = vectors.count()
     if n < FEWEST_ROWS:
         return None
-    vectors = spread(vectors)
-    judge = ClusteringEvaluator(featuresCol="scaled", predictionCol="cluster")
-    best, scores = None, []
-    for k in (k for k in CLUSTER_RANGE if k < n - 1):
-        runs = [
-            KMeans(k=k, seed=SEED + i, featuresCol="scaled", predictionCol="cluster").fit(vectors)
-            for i in range(restarts)
-        ]
-        model = min(runs, key=lambda m: m.summary.trainingCost)
-        score = judge.evaluate(model.transform(vectors))
-        scores.append((k, score))
-        if best is None or score > best[1]:
-            best = (k, score, model)
-    k, score, model = best
-    return Segmentation(features, k, score, scores, model.transform(rows))
+    sizes = [k for k in CLUSTER_RANGE if k < n - 1]
+    found = sweep(spread(vectors), sizes, restarts)
+    scores = [(k, score) for k, (_, score) in zip(sizes, found)]
+    k, score = max(scores, key=lambda s: (s[1], -s[0]))
+    centers = found[sizes.index(k)][0]
+    assigned = rows.withColumn("cluster", nearest([scaled[i] for i in range(len(features))], centers))
+    return Segmentation(features, k, score, scores, assigned)
 
 
 def projection(segmentation: Segmentation) -> tuple[DataFrame, list[float]]:

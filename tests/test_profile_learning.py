@@ -64,7 +64,13 @@ def test_pages_cut_the_sorted_rows(spark, number, ascending):
     rows = [(None if i % 10 == 0 else float(rng.integers(0, 3)), int(rng.integers(0, 40)), f"r{i:03}") for i in range(200)]
     df = spark.createDataFrame(rows, "v double, k int, name string")
     whole = ex.sort_rows(df, "v", ascending, df.columns).collect()
-    assert ex.page(df, number, 5, "v", ascending).collect() == whole[5 * number - 5:5 * number]
+    for in_task in (0, 100_000):
+        assert ex.page(df, number, 5, "v", ascending, in_task=in_task).collect() == whole[5 * number - 5:5 * number]
+    texts = df.withColumn("name", F.when(F.col("k") % 3 > 0, F.col("name"))).select("name", "v", "k").distinct()
+    rows = ex.sort_rows(texts, "name", ascending, texts.columns).collect()
+    for at in (0, number, len(rows) - 2):
+        assert ex.page_after(texts, rows[at], 4, "name", ascending).collect() == rows[at + 1:at + 5]
+    assert ex.page_after(texts, None, 4, "name", ascending).collect() == rows[:4]
 
 
 def test_isolation_forest(spark):
@@ -104,13 +110,36 @@ def test_segments(spark):
     assert report["insights"].count() == 5 and report["drivers"].first()["target"] == "price"
 
 
+def test_sweep_equals_plain_lloyd(spark):
+    rng = np.random.default_rng(12)
+    points = np.vstack([rng.normal(c, 1.0, (n, 3)) for c, n in (((0, 0, 0), 90), ((9, 0, 3), 40), ((0, 9, 9), 1), ((8, 8, 0), 60))])
+    vectors = spark.createDataFrame([tuple(map(float, p)) for p in points], "x0 double, x1 double, x2 double").repartition(5)
+    found = segments.sweep(vectors, [2, 3, 4, 5], restarts=2)
+    for k, (centers, score) in zip([2, 3, 4, 5], found):
+        away = ((points[:, None] - centers[None]) ** 2).sum(axis=2)
+        own = away.argmin(axis=1)
+        assert centers.shape == (k, 3) and centers.tolist() == sorted(centers.tolist())
+        for j in range(k):  # a fixed point: every center is the mean of its rows
+            assert np.allclose(points[own == j].mean(axis=0), centers[j], atol=1e-3)
+        between = np.stack([((points[:, None] - points[own == j][None]) ** 2).sum(axis=2).sum(axis=1) for j in range(k)], axis=1)
+        sizes = np.bincount(own, minlength=k)
+        each = []
+        for i, j in enumerate(own):
+            a = between[i, j] / max(1, sizes[j] - 1)
+            b = min(between[i, m] / sizes[m] for m in range(k) if m != j)
+            each.append(0.0 if sizes[j] == 1 or max(a, b) == 0 else (b - a) / max(a, b))
+        assert score == pytest.approx(np.mean(each), abs=1e-9)
+    same = spark.createDataFrame([(1.0, 2.0)] * 30, "x0 double, x1 double")
+    assert [s for _, s in segments.sweep(same, [2, 3])] == [0.0, 0.0]
+
+
 def test_drivers(spark):
     rng = np.random.default_rng(9)
     rows = [(float(a), float(b), float(3 * a + 0.01 * b)) for a, b in rng.normal(size=(300, 2))]
     df = spark.createDataFrame(rows, "a double, b double, revenue double")
     found = drivers.key_drivers(df).collect()
     assert found[0]["feature"] == "a" and found[0]["target"] == "revenue" and found[0]["importance"] > 80
-    assert "strongest predictor" in insights.driver_insight(drivers.key_drivers(df)).first()["headline"]
+    assert insights.driver_insight(drivers.key_drivers(df)).first()["headline"].startswith("revenue follows a most: weight ")
     assert drivers.choose_target(["days", "unit_price"]) == "unit_price" and drivers.choose_target(["x", "y"]) == "y"
 
 
