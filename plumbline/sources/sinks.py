@@ -92,18 +92,40 @@ def record_run(
     """Append one entry to the run log."""
     row = (uuid.uuid4().hex, user_id, dataset, records, health_score, action)
     entry = spark.createDataFrame([row], RUN_LOG_SCHEMA.rsplit(",", 1)[0]).withColumn("created_at", F.current_timestamp())
-    entry.coalesce(1).write.mode("append").partitionBy("user_id").parquet(path)
+    append_runs(entry.coalesce(1), path)
 
 
 def append_runs(runs: DataFrame, path: str) -> None:
-    """Append many entries (columns of the run log) at once."""
-    runs.write.mode("append").partitionBy("user_id").parquet(path)
+    """Append entries (columns of the run log) as one batch.
+
+    The log is two folders of immutable files: ``runs``, each row with the batch that brought it, and ``cleared``, which
+    names users and batches that no longer count. Every write has a folder of its own in them, so appends and
+    clearings may run side by side.
+    """
+    columns = [part.split()[0] for part in RUN_LOG_SCHEMA.split(",")]
+    batch = uuid.uuid4().hex
+    runs.select(*columns, F.lit(batch).alias("batch")).write.parquet(f"{path}/runs/part={batch}")
+
+
+def read_runs(spark: SparkSession, path: str, user_id: int | None = None) -> DataFrame:
+    """The entries that count, of one user or of all."""
+    log = _log_part(spark, f"{path}/runs", f"{RUN_LOG_SCHEMA}, batch string")
+    gone = _log_part(spark, f"{path}/cleared", "user_id bigint, batch string")
+    if user_id is not None:
+        log, gone = (part.filter(F.col("user_id") == user_id) for part in (log, gone))
+    return log.join(gone, ["user_id", "batch"], "left_anti")
+
+
+def _log_part(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).drop("part")
 
 
 def run_history(spark: SparkSession, path: str, user_id: int, limit: int = HISTORY_LENGTH) -> DataFrame:
-    """A user's latest runs; the log is partitioned by user, so only that user's files are read."""
-    log = spark.read.schema(RUN_LOG_SCHEMA).parquet(path).filter(F.col("user_id") == user_id)
-    latest = log.orderBy(F.desc("created_at"), F.desc("run_id")).limit(limit)
+    """A user's latest runs. The filter reaches the files, whose statistics leave out most of them after ``compact_log``."""
+    latest = read_runs(spark, path, user_id).orderBy(F.desc("created_at"), F.desc("run_id")).limit(limit)
     return latest.select("run_id", "dataset", "records", F.round("health_score", 1).alias("health_score"), "action", "created_at")
 
 
@@ -114,11 +136,20 @@ def latest_runs(log: DataFrame, limit: int = HISTORY_LENGTH) -> DataFrame:
     return ranked.select("user_id", "place", "run_id", "dataset", "records", F.round("health_score", 1).alias("health_score"), "action")
 
 
-def clear_history(spark: SparkSession, path: str, user_id: int, cleared_path: str) -> DataFrame:
-    """The log without a user's runs, rewritten to ``cleared_path``.
+def clear_history(spark: SparkSession, path: str, user_id: int) -> DataFrame:
+    """Take a user's runs out of the log; returns what is left.
+
+    Only the batches of that user are noted, so nothing is rewritten, and runs that arrive meanwhile stay.
+    """
+    seen = read_runs(spark, path, user_id).select("user_id", "batch").distinct()
+    seen.write.parquet(f"{path}/cleared/part={uuid.uuid4().hex}")
+    return read_runs(spark, path).drop("batch")
+
+
+def compact_log(spark: SparkSession, path: str, target: str) -> None:
+    """The log's entries that count in a new folder: few large files, sorted by user, nothing cleared.
 
-    A new folder, so that readers of the old log are not disturbed and a failed write loses nothing.
+    Batches keep their names, so a clearing that was noted in the old log meanwhile can be noted in the new one.
     """
-    kept = spark.read.schema(RUN_LOG_SCHEMA).parquet(path).filter(F.col("user_id") != user_id)
-    append_runs(kept, cleared_path)
-    return spark.read.schema(RUN_LOG_SCHEMA).parquet(cleared_path)
+    kept = read_runs(spark, path).repartitionByRange("user_id", "created_at").sortWithinPartitions("user_id", "created_at")
+    kept.write.parquet(f"{target}/runs/part={uuid.uuid4().hex}")

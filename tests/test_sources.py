@@ -1,4 +1,5 @@
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,12 +73,22 @@ def test_read_only_guard(spark):
 
 def test_run_log(spark, tmp_path):
     path = str(tmp_path / "log")
-    for i in range(3):
-        sinks.record_run(spark, path, i % 2, f"set{i}", 10, 91.26)
+    assert sinks.run_history(spark, path, 0).collect() == []
+    with ThreadPoolExecutor(4) as pool:  # appended side by side
+        list(pool.map(lambda i: sinks.record_run(spark, path, i % 2, f"d{i}", i, 90.06), range(6)))
     latest = sinks.run_history(spark, path, 0).collect()
-    assert [r["dataset"] for r in latest] == ["set2", "set0"] and latest[0]["health_score"] == 91.3
-    left = sinks.clear_history(spark, path, 0, str(tmp_path / "log2"))
-    assert [r["dataset"] for r in left.collect()] == ["set1"]
+    assert sorted(r["dataset"] for r in latest) == ["d0", "d2", "d4"] and latest[0]["health_score"] == 90.1
+    assert [r["created_at"] for r in latest] == sorted((r["created_at"] for r in latest), reverse=True)
+    files = {f: f.stat().st_mtime_ns for f in (tmp_path / "log").rglob("*.parquet")}
+    left = sinks.clear_history(spark, path, 0)
+    assert sorted(r["dataset"] for r in left.collect()) == ["d1", "d3", "d5"]
+    assert all(f.stat().st_mtime_ns == t for f, t in files.items())  # nothing is rewritten
+    sinks.record_run(spark, path, 0, "later", 1, 50.0)
+    assert [r["dataset"] for r in sinks.run_history(spark, path, 0).collect()] == ["later"]
+    assert sinks.run_history(spark, path, 1, 2).count() == 2
+    target = str(tmp_path / "log2")
+    sinks.compact_log(spark, path, target)
+    assert sorted(r["dataset"] for r in sinks.read_runs(spark, target).collect()) == ["d1", "d3", "d5", "later"]
 
 
 def test_exports(spark, tmp_path):
