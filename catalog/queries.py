@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from catalog import sql as q
 from catalog.dirty import LINEITEM
@@ -423,6 +423,12 @@ def audit_columns(spark, sf):
     return au.audit(dirty(spark, sf)).columns_frame()
 
 
+@register("audit_columns_by_row", AUDIT_COLUMNS)
+def audit_columns_by_row(spark, sf):
+    """The same audit with prices, which hardly repeat, kept out of the value distribution."""
+    return au.audit(dirty(spark, sf), bound=1000).columns_frame()
+
+
 def _table_sql(columns: str, rows: str) -> str:
     """The table-level record from a column audit and a relation of raw rows."""
     return f"""
@@ -601,9 +607,11 @@ def _impute(strategy):
 for _strategy, _fill in (("median", "quantile_cont({c}, 0.5)"), ("mean", q.rnd("avg({c})", 2)), ("zero", "max(cast(0 as double))")):
     register(
         f"clean_impute_{_strategy}",
-        f"with t as {_TYPED} select order_id, line_number, "
-        + ", ".join(f"coalesce({c}, (select {_fill.format(c=c)} from t)) as {c}" for c in ("quantity", "price", "tax"))
-        + " from t",
+        f"with t as materialized (select * from {_TYPED}), f as materialized (select "
+        + ", ".join(f"{_fill.format(c=c)} as {c}" for c in ("quantity", "price", "tax"))
+        + " from t) select order_id, line_number, "
+        + ", ".join(f"coalesce(t.{c}, f.{c}) as {c}" for c in ("quantity", "price", "tax"))
+        + " from t, f",
     )(_impute(_strategy))
 
 
@@ -670,6 +678,13 @@ def clean_all_steps(spark, sf):
     return cl.clean(dirty(spark, sf))[0]
 
 
+@register("clean_all_steps_by_row", _clean_sql())
+def clean_all_steps_by_row(spark, sf):
+    """The same cleaning with prices, which hardly repeat, kept out of the value distribution."""
+    plan, base = cl.fit(dirty(spark, sf), bound=1000)
+    return plan.apply(base)
+
+
 @register(
     "clean_log",
     f"""with d as (select distinct * from ({q.DIRTY})) """
@@ -962,7 +977,15 @@ def page(spark, sf):
 def page_deep(spark, sf):
     """A page of three rows in the middle of the table."""
     orders = table(spark, sf, "orders")
-    return ex.page(orders, orders.count() // 2 // 3 + 1, 3, "o_orderdate", True, ["o_orderkey"])
+    return ex.page(orders, orders.count() // 2 // 3 + 1, 3, "o_orderdate", True, ["o_orderkey"], in_task=1000)
+
+
+@register("page_after", "select * from customer order by c_mktsegment desc, c_name, c_custkey limit 40 offset (select count(*) from customer where c_mktsegment > 'BUILDING') ")
+def page_after(spark, sf):
+    """The page of texts that follows the last customer of another segment, found by that row alone."""
+    customers = table(spark, sf, "customer")
+    last = customers.filter(F.col("c_mktsegment") > "BUILDING").orderBy("c_mktsegment", F.desc("c_name"), F.desc("c_custkey")).first()
+    return ex.page_after(customers, last, 40, "c_mktsegment", False, ["c_name", "c_custkey"])
 
 
 @register("page_info", "select count(*) as total_rows, cast(greatest(1, ceil(count(*) / 15)) as bigint) as total_pages from part")
@@ -1041,14 +1064,10 @@ def forecast14_weeks(spark, sf):
 # ---------------------------------------------------------------- learning (no SQL counterpart)
 
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-_segmented: dict[tuple[str, str], segments.Segmentation] = {}
 
 
 def _segmentation(spark, sf) -> segments.Segmentation:
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _segmented:
-        _segmented[key] = segments.segment(table(spark, sf, "lineitem"), MEASURED)
-    return _segmented[key]
+    return segments.segment(table(spark, sf, "lineitem"), MEASURED)
 
 
 @register("kmeans_silhouettes")
@@ -1066,17 +1085,99 @@ def pca_projection(spark, sf):
     return segments.projection_sample(segments.projection(_segmentation(spark, sf))[0], KEY)
 
 
+# Orders moved into three groups far from each other, so that the clusters are known.
+_PLANTED = """(select o_orderkey, o_orderkey % 3 as grp, 10 + 40 * (o_orderkey % 3) + (o_custkey % 100) / 5.0 as spend,
+  5 + 30 * ((o_orderkey % 3) * 2 % 3) + (o_orderkey % 97) / 6.0 as volume from orders)"""
+
+
+def _planted(spark, sf) -> segments.Segmentation:
+    group = (F.col("o_orderkey") % 3).cast("double")
+    rows = table(spark, sf, "orders").select(
+        "o_orderkey",
+        (10 + 40 * group + (F.col("o_custkey") % 100) / 5.0).alias("spend"),
+        (5 + 30 * (group * 2 % 3) + (F.col("o_orderkey") % 97) / 6.0).alias("volume"),
+    )
+    return segments.segment(rows, ["spend", "volume"])
+
+
+@register("kmeans_planted", "select o_orderkey, cast(o_orderkey % 3 as integer) as cluster from orders")
+def kmeans_planted(spark, sf):
+    """The sweep finds the three groups, and their order by center gives them their numbers."""
+    return _planted(spark, sf).assigned.select("o_orderkey", "cluster")
+
+
+@register(
+    "silhouette_planted",
+    f"""with s as (select avg(spend) as ms, stddev_samp(spend) as ds, avg(volume) as mv, stddev_samp(volume) as dv from {_PLANTED}),
+      z as (select o_orderkey, grp, (spend - ms) / ds as x, (volume - mv) / dv as y from {_PLANTED}, s),
+      c as (select grp as other, count(*) as n, sum(x * x + y * y) as sq, sum(x) as sx, sum(y) as sy from z group by grp),
+      d as (select o_orderkey, grp, other, n, x * x + y * y + sq / n - 2 * (x * sx + y * sy) / n as away from z, c),
+      e as (select o_orderkey, sum(case when grp = other then away * n / (n - 1) end) as a, min(case when grp <> other then away end) as b from d group by o_orderkey)
+      select 3 as k, {q.rnd("avg((b - a) / greatest(a, b))", 3)} as score from e""",
+)
+def silhouette_planted(spark, sf):
+    """Mean silhouette of the chosen number of clusters."""
+    found = _planted(spark, sf)
+    return found.scores_frame().filter(F.col("k") == found.k)
+
+
+def _personas_sql() -> str:
+    names = ("spend", "volume")
+    off = {c: f"(m.{c} - w.{c}) / w.{c} * 100" for c in names}
+    label = lambda c: f"case when abs({off[c]}) > 15 then case when {off[c]} > 0 then 'High ' else 'Low ' end || '{c} (' || cast({q.rnd('m.' + c, 1)} as varchar) || ')' end"
+    return f"""with m as (select grp, count(*) as size, avg(spend) as spend, avg(volume) as volume from {_PLANTED} group by grp),
+      w as (select count(*) as n, avg(spend) as spend, avg(volume) as volume from {_PLANTED}),
+      t as (select grp, size, n, list_filter([{label('spend')}, {label('volume')}], lambda x: x is not null) as traits from m, w)
+      select cast(grp as integer) as cluster_id, 'Cluster ' || grp || ': ' || case when len(traits) > 0 then array_to_string(traits, ', ') else 'Balanced Group' end as name,
+        size, {q.rnd('size * 100.0 / n', 1)} as percentage, array_to_string(traits, '; ') as key_traits from t"""
+
+
+@register("personas_planted", _personas_sql())
+def personas_planted(spark, sf):
+    return segments.personas(_planted(spark, sf)).withColumn("key_traits", F.array_join("key_traits", "; "))
+
+
+@register(
+    "pca_planted",
+    f"""with r as (select abs(corr(spend, volume)) as r from {_PLANTED})
+      select 1 as component, {q.rnd('(1 + r) * 50', 1)} as explained_pct from r union all select 2, {q.rnd('(1 - r) * 50', 1)} from r""",
+)
+def pca_planted(spark, sf):
+    """Of two standardized features the components explain (1 + |r|) / 2 and (1 - |r|) / 2."""
+    shares = segments.projection(_planted(spark, sf))[1]
+    return spark.createDataFrame(list(enumerate(shares, 1)), "component int, explained_pct double")
+
+
 @register(
-    "feature_standardize",
-    q.union([f"select '{c}' as feature, cast(0 as double) as mean, cast(1 as double) as std from (select 1)" for c in MEASURED]),
+    "projection_planted",
+    f"""with s as (select avg(spend) as ms, stddev_samp(spend) as ds, avg(volume) as mv, stddev_samp(volume) as dv, sign(corr(spend, volume)) as r from {_PLANTED}),
+      p as (select grp, ((spend - ms) / ds + r * (volume - mv) / dv) / sqrt(2) as x, ((spend - ms) / ds - r * (volume - mv) / dv) / sqrt(2) as y from {_PLANTED}, s)
+      select cast(grp as integer) as cluster, count(*) as points, round(avg(abs(x)), 4) as far_x, round(avg(abs(y)), 4) as far_y from p group by grp""",
 )
+def projection_planted(spark, sf):
+    """All rows on two components: distances along each, whose signs are a convention."""
+    projected = segments.projection(_planted(spark, sf))[0]
+    return projected.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("points"), F.round(F.avg(F.abs("x")), 4).alias("far_x"), F.round(F.avg(F.abs("y")), 4).alias("far_y"))
+
+
+def _standard_sql() -> str:
+    z = lambda c: f"({c} - m) / s"
+    return q.union([
+        f"select '{c}' as feature, abs(round(avg({z(c)}), 6)) as mean, round(stddev_samp({z(c)}), 6) as std, round(min({z(c)}), 6) as low, round(max({z(c)}), 6) as high, "
+        f"round(sum(abs({z(c)})) / count(*), 6) as spread from lineitem, (select avg({c}) as m, stddev_samp({c}) as s from lineitem)" for c in MEASURED
+    ])
+
+
+@register("feature_standardize", _standard_sql())
 def feature_standardize(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
     scaled = segments.standardized(table(spark, sf, "lineitem"), MEASURED).select(vector_to_array("scaled").alias("v"))
-    row = scaled.agg(*[f(F.col("v")[i]).alias(f"{n}{i}") for i in range(len(MEASURED)) for n, f in (("m", F.avg), ("s", F.stddev_samp))])
-    fields = [[F.lit(c), F.abs(F.round(F.col(f"m{i}"), 6)), F.round(F.col(f"s{i}"), 6)] for i, c in enumerate(MEASURED)]
-    return co.per_column(row, fields, ["feature", "mean", "std"])
+    figures = (("mean", F.avg), ("std", F.stddev_samp), ("low", F.min), ("high", F.max), ("spread", lambda v: F.avg(F.abs(v))))
+    row = scaled.agg(*[f(F.col("v")[i]).alias(f"{n}{i}") for i in range(len(MEASURED)) for n, f in figures])
+    fields = [[F.lit(c), F.abs(F.round(F.col(f"mean{i}"), 6)), *[F.round(F.col(f"{n}{i}"), 6) for n, _ in figures[1:]]] for i, c in enumerate(MEASURED)]
+    return co.per_column(row, fields, ["feature", *[n for n, _ in figures]])
 
 
 @register("anomalies")
@@ -1106,6 +1207,30 @@ def anomaly_profile(spark, sf):
     return ex.anomaly_profile(top, pr.numeric_profile(df, MEASURED), MEASURED)
 
 
+_SCORE = "round(l_extendedprice * l_quantity / 1000, 6)"
+_WORST = "order by anomaly_score desc, " + ", ".join(f"{c} desc" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
+
+
+def _scored(spark, sf) -> DataFrame:
+    """Rows with a given score in place of the forest's, so that what follows from scores can be compared."""
+    score = F.round(F.col("l_extendedprice") * F.col("l_quantity") / 1000, 6)
+    return table(spark, sf, "lineitem").withColumn("anomaly_score", score).withColumn("is_anomaly", F.col("anomaly_score") > 100)
+
+
+@register("top_anomalies_given", f"""select {', '.join(KEY)}, round({_SCORE}, 3) as anomaly_score, round(l_quantity, 2) as l_quantity, round(l_discount, 2) as l_discount, round(l_tax, 2) as l_tax
+    from lineitem where {_SCORE} > 100 order by {_SCORE} desc, {', '.join(KEY)} limit 10""")
+def top_anomalies_given(spark, sf):
+    return anomalies.top_anomalies(_scored(spark, sf), KEY, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+
+
+@register("anomaly_profile_given", q.union([
+    f"""select '{c}' as feature, least(100.0, round((select {c} from (select *, {_SCORE} as anomaly_score from lineitem) {_WORST} limit 1) / greatest(1.0, max({c})) * 100)) as anomaly_pct,
+        least(100.0, round(avg({c}) / greatest(1.0, max({c})) * 100)) as baseline_pct from lineitem""" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]))
+def anomaly_profile_given(spark, sf):
+    features = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    return ex.anomaly_profile(_scored(spark, sf), pr.numeric_profile(table(spark, sf, "lineitem"), features), features)
+
+
 @register("key_drivers")
 def key_drivers(spark, sf):
     return drivers.key_drivers(table(spark, sf, "orders").join(
@@ -1113,11 +1238,27 @@ def key_drivers(spark, sf):
     ), "o_totalprice", ["o_totalprice", "c_acctbal", "c_nationkey", "o_orderkey"])
 
 
+_MADE = "(select o_custkey % 101 as visits, o_orderkey % 89 as weight, o_orderkey % 7 as weekday, 20 * (o_custkey % 101) + 4 * (o_orderkey % 89) as revenue from orders)"
+
+
+@register("drivers_planted", f"""select 'revenue' as target, feature, cast(row_number() over (order by strength desc) as integer) as place from (
+    select 'visits' as feature, abs(corr(visits, revenue)) as strength from {_MADE} union all select 'weight', abs(corr(weight, revenue)) from {_MADE}
+    union all select 'weekday', abs(corr(weekday, revenue)) from {_MADE})""")
+def drivers_planted(spark, sf):
+    """The target is found by its name, and features rank as they were put into it."""
+    made = table(spark, sf, "orders").select(
+        (F.col("o_custkey") % 101).cast("double").alias("visits"), (F.col("o_orderkey") % 89).cast("double").alias("weight"),
+        (F.col("o_orderkey") % 7).cast("double").alias("weekday"))
+    found = drivers.key_drivers(made.withColumn("revenue", 20 * F.col("visits") + 4 * F.col("weight")), features=["visits", "weight", "weekday", "revenue"])
+    place = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("importance"), "feature"))
+    return found.select("target", "feature", place.alias("place"))
+
+
 @register("insights")
 def insights_query(spark, sf):
-    orders = table(spark, sf, "orders")
+    orders, segmented = table(spark, sf, "orders"), _segmentation(spark, sf)
     found = [insights.overview(orders)]
-    found.append(insights.segment_insight(segments.personas(_segmentation(spark, sf)), _segmentation(spark, sf).silhouette))
+    found.append(insights.segment_insight(segments.personas(segmented), segmented.silhouette))
     found.append(insights.driver_insight(key_drivers(spark, sf)))
     found.append(insights.anomaly_insight(anomaly_summary(spark, sf)))
     weekly = fc.series(orders, "o_orderdate", "o_totalprice", "week")
@@ -1125,6 +1266,19 @@ def insights_query(spark, sf):
     return insights.combine(found)
 
 
+@register("insights_planted", f"""with p as ({_personas_sql()}), s as ({ORACLES['silhouette_planted']}), a as ({ORACLES['anomaly_summary']})
+    select 'overview' as kind, 'Size' as badge, 'Rows: ' || count(*) || ', columns: {len(COLUMNS['orders'])}' as headline, 'All figures below are over these rows.' as detail from orders
+    union all select 'clustering', 'Segments', 'Segments: ' || (select count(*) from p) || ', silhouette ' || printf('%.3f', s.score),
+      (select 'Most rows (' || percentage || '%) are in ' || name from p order by size desc, cluster_id limit 1) from s
+    union all select 'anomaly', 'Outliers', 'Flagged rows: ' || total_anomalies || ', ' || anomaly_pct || '% of all', 'Random splits part these rows from the rest soonest.' from a""")
+def insights_planted(spark, sf):
+    """The findings in words, where the figures behind them are known."""
+    planted = _planted(spark, sf)
+    return insights.combine([
+        insights.overview(table(spark, sf, "orders")), insights.segment_insight(segments.personas(planted), planted.silhouette),
+        insights.anomaly_insight(anomaly_summary(spark, sf))])
+
+
 # ---------------------------------------------------------------- sources and sinks
 
 _RAW_SUMMARY = """select count(*) as row_count, count(distinct order_id) as orders, count(distinct price) as prices, min(ship_date) as first_date,
@@ -1195,15 +1349,20 @@ def sql_query(spark, sf):
     )
 
 
-@register("model_drop", "select 'customer' as from_table, 'nationkey' as from_col, 'nation' as to_table, 'nationkey' as to_col union all select 'nation', 'regionkey', 'region', 'regionkey'")
+@register("model_drop", """select r_name as region_name, count(*) as customers, round(sum(c_acctbal), 2) as balance, cast(sum(c_nationkey) as bigint) as nations,
+    cast(0 as bigint) as order_columns from customer left join nation on c_nationkey = n_nationkey left join region on n_regionkey = r_regionkey group by r_name""")
 def model_drop(spark, sf):
-    """A table and an edge removed from a model take only their own relationships with them."""
+    """A table and an edge removed from a model: the view of the rest neither holds their columns nor counts them."""
     model = model_of((n, plain(spark, sf, n)) for n in ("orders", "customer", "nation", "region", "supplier"))
     for edge in (("orders", "custkey", "customer", "custkey"), ("customer", "nationkey", "nation", "nationkey"),
                  ("supplier", "nationkey", "nation", "nationkey"), ("nation", "regionkey", "region", "regionkey")):
         model.relate(*edge)
     model.drop("orders").unrelate("supplier", "nationkey", "nation", "nationkey")
-    return model.relationships_frame(spark).select("from_table", "from_col", "to_table", "to_col")
+    view, names = unify_named(model, "customer")
+    gone = sum(t in ("orders", "supplier") for t, _ in names)
+    return view.groupBy(F.col(names["region", "name"]).alias("region_name")).agg(
+        F.count(F.lit(1)).alias("customers"), F.round(F.sum("acctbal"), 2).alias("balance"), F.sum("nationkey").alias("nations"),
+        F.lit(gone).cast("bigint").alias("order_columns"))
 
 
 @register("schema_samples", q.union([
@@ -1225,9 +1384,9 @@ def run_log_clear(spark, sf):
         F.col("event_id").cast("string").alias("run_id"), "user_id", F.col("event_type").alias("dataset"), F.lit(1).cast("bigint").alias("records"),
         F.col("value").alias("health_score"), F.lit("Analyzed Dataset").alias("action"), F.col("ts").alias("created_at"),
     )
-    sinks.append_runs(runs.repartition("user_id"), path)
+    sinks.append_runs(runs, path)
     first = events.agg(F.min("user_id")).first()[0]
-    left = sinks.clear_history(spark, path, first, scratch_path(spark, "log"))
+    left = sinks.clear_history(spark, path, first)
     return left.groupBy(F.col("user_id").cast("bigint").alias("user_id")).agg(F.count(F.lit(1)).alias("runs"))
 
 
