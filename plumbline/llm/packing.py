@@ -8,7 +8,6 @@ import types
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -86,8 +85,8 @@ class Encoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.classes = _classes()
         self.foreign = re.compile(f"[^\\0-{chr(LATIN - 1)}]").search
-        self.cache: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # A byte is one character of a token's text, so the bytes of ids tell which piece they belong to.
         size = self.library.get_vocab_size()
         self.bytes = np.array([len(self.library.id_to_token(i) or "") for i in range(size)], np.int64)
@@ -103,19 +102,21 @@ class Encoder:
     def _learn(self, pieces: list[str]) -> None:
         words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
         if words:
-            ids = self.library.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids
+            ids = np.array(self.library.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.cumsum([len(w.encode()) for w in words])
-            cuts = [0, *(np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1).tolist()]
-            for p, a, b in zip(words, cuts, cuts[1:]):
-                self.cache[p] = ids[a:b]
+            self._keep(words, ids, np.append(0, np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1))
         rest = [p for p in pieces if p not in self.cache] if len(words) < len(pieces) else []
         if rest:
             found = self.library.encode_batch([rest], is_pretokenized=True, add_special_tokens=False)[0]
-            ids, cuts = found.ids, np.searchsorted(found.word_ids, np.arange(len(rest) + 1)).tolist()
-            for p, a, b in zip(rest, cuts, cuts[1:]):
-                self.cache[p] = ids[a:b]
+            self._keep(rest, np.array(found.ids, np.uint32), np.searchsorted(found.word_ids, np.arange(len(rest) + 1)))
 
-    def _ids(self, pieces: list[str]) -> list[list[int]]:
+    def _keep(self, pieces: list[str], ids: np.ndarray, cuts: np.ndarray) -> None:
+        raw, cuts = ids.tobytes(), (4 * cuts).tolist()
+        for p, a, b in zip(pieces, cuts, cuts[1:]):
+            self.cache[p] = raw[a:b]
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece as u32 in bytes, which take a quarter of the room of lists."""
         if len(self.cache) >= CACHE:
             self.older, self.cache = self.cache, {}
         cache, older, new = self.cache, self.older, []
@@ -143,8 +144,8 @@ class Encoder:
         pieces = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(raw)).dictionary_encode()
         codes = pieces.indices.to_numpy()
         ids = self._ids(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum()))
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.uint32)
         base = np.cumsum(length) - length
         per = length[codes]
         upto = np.cumsum(per)
@@ -296,12 +297,12 @@ def _placement(plan: list[Pattern]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return tuple(np.array(x, np.int64) for x in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 3
 
 
-def tokenize(docs: DataFrame, id: str, text: str, file: str, capacity: int, end: int, keep_ids: bool) -> DataFrame:
+def tokenize(docs: DataFrame, id: str, text: str, file: str, capacity: int, end: int, keep_ids: bool, share: bool) -> DataFrame:
     """The pieces of all documents, numbered within their task and length."""
     id_type = docs.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = Encoder.of_worker(file), TaskContext.get().partitionId()
+        encoder, shard = Encoder.of_worker(file) if share else Encoder(file), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
 
         def pieces(ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
@@ -346,7 +347,7 @@ def tokenize(docs: DataFrame, id: str, text: str, file: str, capacity: int, end:
 
 def pack_documents(
     docs: DataFrame, file: str, id: str = "doc_id", text: str = "text",
-    capacity: int = 2048, end: int = 0, keep_ids: bool = False,
+    capacity: int = 2048, end: int = 0, keep_ids: bool = False, share: bool = True,
 ) -> DataFrame:
     """All documents in few sequences of at most ``capacity`` tokens: a row per piece, with ``ids`` if asked for.
 
@@ -357,11 +358,14 @@ def pack_documents(
     counts of the tasks before, which no single task has to sort. The table of patterns that is broadcast has a bounded
     number of rows, as each step of the two algorithms adds one and steps are bounded by the lengths.
 
+    With ``share`` a Python worker keeps the pieces it has learnt for later tasks, some 100 MB as long as it lives;
+    without, each task learns its own, for jobs that do other things in the same workers.
+
     Defined cases: null is an empty text, a document of ``end`` alone; rows are documents, also if ids repeat or are
     null; which of equal lengths goes where is arbitrary; an empty table gives no rows. Only id and text are read.
     """
     spark = docs.sparkSession
-    pieces = stage(tokenize(docs, id, text, file, capacity, end, keep_ids), "pieces")
+    pieces = stage(tokenize(docs, id, text, file, capacity, end, keep_ids, share), "pieces")
     counts = stage(pieces.groupBy("shard", "length").agg(F.count("*").alias("n")), "lengths")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table = spark.sparkContext.broadcast(_placement(plan_sequences(histogram, capacity)))
