@@ -10,7 +10,7 @@ from plumbline.functions.numbers import half_up
 from plumbline.functions.text import trimmed
 from plumbline.operators.columns import numeric_columns, quoted, text_columns, time_columns
 from plumbline.operators.distinct import duplicate_rows
-from plumbline.operators.distribution import FEW_VALUES, ROWS, distinguished, hashed_distinct, of_column, read_cells, read_values, wide_columns
+from plumbline.operators.distribution import FEW_VALUES, ROWS, distinguished, hashed_distinct, of_column, read_cells, read_values, sketched_distinct, wide_columns
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.session import stage
 
@@ -103,14 +103,19 @@ def health_score() -> Column:
     return F.when(F.col("total_rows") == 0, F.lit(0.0)).otherwise(bounded)
 
 
-def audit(df: DataFrame, bound: int = FEW_VALUES) -> Audit:
-    """Audit all rows of ``df``.
+def audit(df: DataFrame, bound: int = FEW_VALUES, fraction: float | None = None, seed: int = 42, approximate: bool = False) -> Audit:
+    """Audit all rows of ``df``, or with ``fraction`` a staged row sample, whose own figures are then reported.
+
+    ``approximate`` takes distinct and casing counts of columns that hardly repeat from a sketch of all rows (2 %
+    standard error), which saves shuffling their hashes; all else stays exact.
 
     A sketch scan parts columns of few values from those of more than ``bound``. The former become a staged
     value distribution; types, missing and distinct counts, casing and outliers come from it. The latter are
     parsed once, row by row, and told apart by hashes. Last,
     duplicates are counted over whole rows.
     """
+    if fraction is not None:
+        df = stage(df.sample(fraction, seed), "sample")
     wide = wide_columns(df, bound)
     many = df.select(*[quoted(c) for c in wide])
     few = stage(read_values(df.select(*[quoted(c) for c in df.columns if c not in wide])), "values")
@@ -152,7 +157,8 @@ def audit(df: DataFrame, bound: int = FEW_VALUES) -> Audit:
         outliers |= tukey_outliers(cells, {c: of_column(c) for c in by_row}, weight=F.col("count"), known=known)
     strings = [c for c in texts if detected[c] == "string" and c in seen]
     folded = folded_distinct(few, [c for c in strings if c not in wide])
-    exact = hashed_distinct(many, {("all", c): distinguished(df.schema[c]) for c in wide} | {("folded", c): F.lower(trimmed(quoted(c))) for c in strings if c in wide})
+    count = sketched_distinct if approximate else hashed_distinct
+    exact = count(many, {("all", c): distinguished(df.schema[c]) for c in wide} | {("folded", c): F.lower(trimmed(quoted(c))) for c in strings if c in wide})
     folded |= {c: n for (kind, c), n in exact.items() if kind == "folded"}
 
     columns = []
@@ -172,7 +178,7 @@ def audit(df: DataFrame, bound: int = FEW_VALUES) -> Audit:
                 outliers.get(c, 0),
                 detected[c] == "dirty_numeric",
                 detected[c] == "datetime" and c in texts,
-                distinct - folded[c] if c in strings else 0,
+                max(0, distinct - folded[c]) if c in strings else 0,
             )
         )
     return Audit(df.sparkSession, rows, len(df.columns), duplicate_rows(df), columns)

@@ -23,6 +23,7 @@ NAMED_TRAITS, KEPT_TRAITS = 2, 4
 SCATTER_POINTS = 300
 # Rows from which starting centers are drawn, most passes over all rows, and the move of a center that counts as none.
 START_ROWS = 10_000
+JUDGED_ROWS = 2_000
 PASSES, STILL = 8, 1e-3
 
 
@@ -186,11 +187,34 @@ def silhouettes(vectors: DataFrame, models: list[np.ndarray]) -> list[float]:
     return [float(total.get(i, 0.0) / max(1.0, sums[:, 0].sum())) for i, (_, sums) in enumerate(known)]
 
 
-def segment(df: DataFrame, features: list[str] | None = None, restarts: int = 1) -> Segmentation | None:
+def sampled_silhouettes(vectors: DataFrame, models: list[np.ndarray], rows: int = JUDGED_ROWS) -> list[float]:
+    """Mean silhouette by plain Euclidean distance of every model, over the ``rows`` rows of smallest hash.
+
+    Plain distances need every pair, so this form is only offered for a sample of stated size.
+    """
+    x = vectors.orderBy(F.xxhash64(*vectors.columns), *vectors.columns).limit(rows).toPandas().to_numpy(float)
+    apart = np.sqrt(np.maximum(0, (x * x).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None] - 2 * x @ x.T))
+    np.fill_diagonal(apart, 0)
+    scores, at = [], np.arange(len(x))
+    for centers in models:
+        own = ((x[:, None] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)
+        size = np.bincount(own, minlength=len(centers))
+        mean = np.column_stack([apart[:, own == j].sum(axis=1) for j in range(len(centers))])
+        a = mean[at, own] / np.maximum(size[own] - 1, 1)
+        other = np.where(size[None] > 0, mean / np.maximum(size, 1)[None], np.inf)
+        other[at, own] = np.inf
+        b = other.min(axis=1)
+        widest = np.maximum(a, b)
+        single = (size[own] == 1) | (widest == 0) | np.isinf(b)
+        scores.append(float(np.where(single, 0.0, (b - a) / np.where(single, 1.0, widest)).mean()))
+    return scores
+
+
+def segment(df: DataFrame, features: list[str] | None = None, restarts: int = 1, euclidean: bool = False) -> Segmentation | None:
     """K-means for each k in the sweep, over all complete rows; more ``restarts`` keep the best run.
 
-    The k with the highest silhouette (squared Euclidean) wins, the smaller on ties. None for fewer
-    than two features or 15 complete rows.
+    The k with the highest silhouette wins, the smaller on ties: squared Euclidean over all rows, or with ``euclidean``
+    plain Euclidean over a sample of ``JUDGED_ROWS``. None for fewer than two features or 15 complete rows.
     """
     features = feature_columns(df) if features is None else features
     if len(features) < 2:
@@ -203,7 +227,8 @@ def segment(df: DataFrame, features: list[str] | None = None, restarts: int = 1)
         return None
     sizes = [k for k in CLUSTER_RANGE if k < n - 1]
     found = sweep(spread(vectors), sizes, restarts)
-    scores = [(k, score) for k, (_, score) in zip(sizes, found)]
+    judged = sampled_silhouettes(vectors, [c for c, _ in found]) if euclidean else [score for _, score in found]
+    scores = list(zip(sizes, judged))
     k, score = max(scores, key=lambda s: (s[1], -s[0]))
     centers = found[sizes.index(k)][0]
     assigned = rows.withColumn("cluster", nearest([scaled[i] for i in range(len(features))], centers))

@@ -56,6 +56,16 @@ def test_columns_by_row_give_the_same_figures(messy, bound):
         assert two.apply(base).count() == 40
 
 
+def test_sampled_and_approximate_audit(spark):
+    df = spark.range(4000).selectExpr("id as k", "concat('t', id) as name", "cast(id % 7 as int) as v")
+    part = audit(df, fraction=0.25)
+    assert 800 < part.total_rows < 1200 and part.columns[1].unique_count == part.total_rows and part == audit(df, fraction=0.25)
+    exact, rough = audit(df, 100), audit(df, 100, approximate=True)
+    for a, b in zip(exact.columns, rough.columns):
+        assert a.unique_count in (4000, 7) and abs(a.unique_count - b.unique_count) <= 0.08 * a.unique_count
+        assert (a.missing_count, a.outlier_count, a.detected_type) == (b.missing_count, b.outlier_count, b.detected_type)
+
+
 def test_hashed_figures(spark):
     df = spark.createDataFrame([("b", 1.0), ("a", 1.0), ("b", float("nan")), ("a", None), (None, -0.0), ("c", 0.0)], "t string, v double")
     assert hashed_distinct(df, {"t": F.col("t"), "v": F.col("v")}) == {"t": 3, "v": 3}

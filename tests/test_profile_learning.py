@@ -129,6 +129,13 @@ def test_sweep_equals_plain_lloyd(spark):
             b = min(between[i, m] / sizes[m] for m in range(k) if m != j)
             each.append(0.0 if sizes[j] == 1 or max(a, b) == 0 else (b - a) / max(a, b))
         assert score == pytest.approx(np.mean(each), abs=1e-9)
+        plain = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
+        each = []
+        for i, j in enumerate(own):
+            a = plain[i, own == j].sum() / max(1, sizes[j] - 1)
+            b = min(plain[i, own == m].mean() for m in range(k) if m != j)
+            each.append(0.0 if sizes[j] == 1 else (b - a) / max(a, b))
+        assert segments.sampled_silhouettes(vectors, [centers]) == [pytest.approx(np.mean(each), abs=1e-6)]
     same = spark.createDataFrame([(1.0, 2.0)] * 30, "x0 double, x1 double")
     assert [s for _, s in segments.sweep(same, [2, 3])] == [0.0, 0.0]
 
